@@ -21,8 +21,6 @@ number of buckets needs; see the README on what a collision would do.
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import group_count, saved, text_bytes
+from .packs import pack, unpacked
 
 END = xxhash.xxh64_intdigest(b" ", 42)  # no word has a space
 LEVELS, STEP, BUCKETS = 122, 4, 16  # histogram: a zero level, then quarter powers of two; context buckets
@@ -47,37 +46,11 @@ class Settings:
     rounds: int = 40  #: of expectation-maximisation
 
 
-def _pack(docs: DataFrame, groups: int, settings: Settings) -> DataFrame:
-    """(g, pack): the texts of a group, some to a compressed Arrow stream."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
-        for batch in batches:
-            g = batch.column(0).to_numpy()
-            order = np.argsort(g, kind="stable")
-            cuts = np.flatnonzero(np.diff(g[order], prepend=-1))
-            rows = pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3)], names=["train", "doc_id", "text"])
-            packs = []
-            for part in np.split(order, cuts[1:]):
-                sink = io.BytesIO()
-                own = rows.take(pa.array(part))
-                with pa.ipc.new_stream(sink, own.schema, options=options) as out:
-                    out.write_batch(own)
-                packs.append(sink.getvalue())
-            if packs:
-                yield pa.RecordBatch.from_arrays([pa.array(g[order][cuts], pa.int64()), pa.array(packs, pa.binary())], ["g", "pack"])
-
-    named = docs.select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("g"), F.expr(settings.train).alias("train"), "doc_id", F.col("text").cast("string").alias("text")
-    )
-    return named.mapInArrow(run, "g long, pack binary")
-
-
 class _Group:
     """The tokens of a group's texts as codes, and its distinct n-grams in the order of their hashes."""
 
     def __init__(self, packs: list[bytes], bits: int):
-        tables = [pa.ipc.open_stream(p).read_all() for p in packs]
-        table = pa.concat_tables(tables).combine_chunks()
+        table = unpacked(packs)
         self.ids, self.train = table.column("doc_id"), table.column("train").to_numpy().astype(bool)
         words, self.sizes = [], np.empty(table.num_rows, np.int64)
         for i, t in enumerate(table.column("text")):
@@ -249,7 +222,7 @@ def lm_scores(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     size = text_bytes(docs)
     groups = group_count(size, settings.group_bytes)
     bits = max(0, (group_count(size // 8, settings.bucket_entries) - 1).bit_length())
-    packs = _pack(docs, groups, settings)
+    packs = pack(docs.select(F.expr(settings.train).alias("train"), "doc_id", F.col("text").cast("string").alias("text")), groups)
     told = saved(packs.groupBy("g").applyInArrow(_asks(bits), ASKED).groupBy("bucket").applyInArrow(_answers, TOLD))
     cogroup = lambda f, schema: packs.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(f, schema)
     cells = cogroup(_histogram(bits), "cell long, n long, size long").groupBy("cell").agg(F.sum("n").alias("n"), F.max("size").alias("size")).toPandas()
