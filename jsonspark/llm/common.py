@@ -32,17 +32,22 @@ def ascii_lower_column(text: Column) -> Column:
     )
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cuts lineage through a reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share: the one that ``spark.checkpoint.dir`` names.
 
-    The folder is the one that ``spark.checkpoint.dir`` names; a local one is
-    made only where neither the setting nor the context has any (tests).
+    A local one is made only where neither the setting nor the context has any
+    (tests).
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="jsonspark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Cuts lineage through a reliable checkpoint in the cluster's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

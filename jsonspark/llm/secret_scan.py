@@ -57,13 +57,13 @@ def _spans(text: Column, pattern: str, kind: int, ok: Column | None = None, keep
     return F.when(ok if ok is not None else text.rlike(pattern), placed).otherwise(F.array().cast(entry))
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty) and ``base``, sorted by start and then kind."""
+def base_spans(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, the columns of ``carry``, and ``base``, sorted by start and then kind (null text: none)."""
+    kept = ["doc_id", "text", *[c for c in carry if c not in ("doc_id", "text")]]
     text = F.col("text")
     may = text.rlike("(?i:password|passwd|secret|token|api_?key)")
-    return docs.select("doc_id", F.coalesce(text, F.lit("")).alias("text")).select(
-        "doc_id",
-        "text",
+    return docs.select(
+        *kept,
         F.array_sort(F.concat(
             _spans(text, ASSIGN, 0, may, lambda v: F.length(v) >= 6),
             _spans(text, ACCESS, 1),
@@ -121,22 +121,23 @@ def ratio(value: Column, table: list[float]) -> Column:
     )
 
 
-def secret_scan(docs: DataFrame, settings: Settings = Settings(), table: list[float] | None = None) -> DataFrame:
-    """doc_id, text and ``found``: array<struct<s, k, e, v>> by start and then kind (an index of KINDS).
+def secret_scan(docs: DataFrame, settings: Settings = Settings(), table: list[float] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, ``base`` and ``found``: array<struct<s, k, e, v>> by start and then kind (an index of KINDS).
 
     Base spans stay as they are; the model adds tokens that overlap none of
     them, of ``min_token`` characters and more, with a letter and a digit, whose
     ratio reaches ``min_ratio``.  A null text is empty; repeated rows are scanned
-    alike; other columns are ignored.  Without a table it learns from ``docs``.
+    alike; only the columns named in ``carry`` come along (none may be called
+    base, more or found).  Without a table it learns from ``docs``.
     """
     if table is None:
         table = train(labelled_samples(docs, settings), settings)
     token = r"[A-Za-z0-9+/_=-]{%d,}" % settings.min_token
-    df = base_spans(docs).withColumn("more", _spans(F.col("text"), token, 3))
+    df = base_spans(docs, carry).withColumn("more", _spans(F.col("text"), token, 3))
     random = (
         F.filter("more", lambda m: m["v"].rlike("[0-9]") & m["v"].rlike("[A-Za-z]") & ~F.exists("base", lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"])) & (ratio(m["v"], table) >= settings.min_ratio))
     )
-    return df.select("doc_id", "text", "base", F.array_sort(F.concat("base", random)).alias("found"))
+    return df.select(*[c for c in df.columns if c != "more"], F.array_sort(F.concat("base", random)).alias("found"))
 
 
 def span_text(spans: Column) -> Column:
