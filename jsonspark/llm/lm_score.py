@@ -26,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +37,7 @@ from .packs import pack, unpacked
 END = xxhash.xxh64_intdigest(b" ", 42)  # no word has a space
 LEVELS, STEP, BUCKETS = 122, 4, 16  # histogram: a zero level, then quarter powers of two; context buckets
 LOW_BITS = 40
+WIDE = np.uint64(2**32 - 1)
 
 
 @dataclass(frozen=True)
@@ -81,19 +83,31 @@ class _Group:
         )
 
 
+def _gaps(keys: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted numbers as their differences, 4 bytes each; the few that do not fit again in full."""
+    step = np.diff(keys, prepend=np.uint64(0))
+    return np.minimum(step, WIDE).astype("<u4").tobytes(), step[step >= WIDE].tobytes()
+
+
+def _from_gaps(cell: bytes, wide: bytes) -> np.ndarray:
+    step = np.frombuffer(cell, "<u4").astype(np.uint64)
+    step[step == WIDE] = np.frombuffer(wide, np.uint64)
+    return np.cumsum(step, dtype=np.uint64)
+
+
 def _escaped(counts: np.ndarray) -> tuple[bytes, bytes]:
     """One byte each, and the ones of 255 and more again in full."""
     counts = counts.astype(np.uint64)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes(), counts[counts >= 255].tobytes()
+    return zstandard.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), 3), counts[counts >= 255].tobytes()
 
 
 def _plain(small: bytes, big: bytes) -> np.ndarray:
-    out = np.frombuffer(small, np.uint8).astype(np.int64)
+    out = np.frombuffer(zstandard.decompress(small), np.uint8).astype(np.int64)
     out[out == 255] = np.frombuffer(big, np.uint64).astype(np.int64)
     return out
 
 
-ASKED = "bucket long, g long, kind int, keys binary, small binary, big binary"
+ASKED = "bucket long, g long, kind int, keys binary, wide binary, small binary, big binary"
 TOLD = "g long, bucket long, kind int, small binary, big binary, n long, v long"
 
 
@@ -104,13 +118,14 @@ def _asks(bits: int):
         g = table.column("g")[0].as_py()
         group = _Group(table.column("pack").to_pylist(), bits)
         rows = []
-        for kind, (keys, shift, width, counts) in enumerate(zip((group.uni, group.bi), (64 - bits, LOW_BITS), (8, 5), group.counts())):
+        for kind, (keys, shift, counts) in enumerate(zip((group.uni, group.bi), (64 - bits, LOW_BITS), group.counts())):
             bucket = (keys >> np.uint64(shift)).astype(np.int64) if bits or kind else np.zeros(len(keys), np.int64)
             cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-            raw = keys.view(np.uint8).reshape(-1, 8)[:, :width]
-            rows += [(b, g, kind, np.ascontiguousarray(raw[x:y]).tobytes(), *_escaped(counts[x:y])) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x or kind == 0]
-        names = ["bucket", "g", "kind", "keys", "small", "big"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            cell = _gaps if kind else lambda k: (k.tobytes(), b"")
+            low = keys & np.uint64((1 << LOW_BITS) - 1) if kind else keys  # the bucket's bits are known
+            rows += [(b, g, kind, *cell(low[x:y]), *_escaped(counts[x:y])) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x or kind == 0]
+        names = ["bucket", "g", "kind", "keys", "wide", "small", "big"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     return run
@@ -120,15 +135,15 @@ def _answers(table: pa.Table) -> pa.Table:
     """Adds up a bucket's counts over all groups and tells each group its own n-grams' totals."""
     out = []
     kinds = np.array(table.column("kind").to_pylist())
-    rows = [table.column(c).to_pylist() for c in ("g", "bucket", "keys", "small", "big")]
-    for kind, width in ((0, 8), (1, 5)):
+    rows = [table.column(c).to_pylist() for c in ("g", "bucket", "keys", "small", "big", "wide")]
+    for kind in (0, 1):
         own = np.flatnonzero(kinds == kind).tolist()
         if not own:
             continue
-        sizes = [len(rows[3][i]) for i in own]
-        cells = np.zeros((sum(sizes), 8), np.uint8)
-        cells[:, :width] = np.frombuffer(b"".join(rows[2][i] for i in own), np.uint8).reshape(-1, width)
-        unique, inverse = np.unique(cells.view(np.uint64).ravel(), return_inverse=True)
+        keys = [_from_gaps(rows[2][i], rows[5][i]) if kind else np.frombuffer(rows[2][i], np.uint64) for i in own]
+        sizes = [len(k) for k in keys]
+        keys = np.concatenate(keys)
+        unique, inverse = np.unique(keys, return_inverse=True)
         total = np.bincount(inverse, weights=np.concatenate([_plain(rows[3][i], rows[4][i]) for i in own]), minlength=len(unique)).astype(np.int64)
         n, v = (int(total.sum()), int((total > 0).sum())) if kind == 0 else (0, 0)
         for i, part in zip(own, np.split(total[inverse], np.cumsum(sizes)[:-1])):

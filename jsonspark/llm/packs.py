@@ -19,7 +19,7 @@ def pack(docs: DataFrame, groups: int) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))
         for batch in batches:
             g = batch.column(0).to_numpy()
             order = np.argsort(g, kind="stable")
