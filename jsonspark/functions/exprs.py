@@ -19,6 +19,14 @@ from ..patterns import compiled, java_regex, java_replacement, parse
 SYMBOLS = "".join("\\" + c for c in CURRENCY_SYMBOLS)
 
 
+def bound(value: Column, made) -> Column:
+    """made(value) with the value worked out once, however often it is used.
+
+    Without it nested steps would multiply the size of the generated code.
+    """
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
 def trimmed(c: Column) -> Column:
     """Without white space of any alphabet at the ends (trim() knows the plain space alone)."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -60,7 +68,11 @@ def _part(c: Column, pattern: str, group: int = 1) -> Column:
     return _finite(F.nullif(F.regexp_extract(c, f"^{pattern}$", group), F.lit("")))
 
 
-def _ungrouped(c: Column) -> Column:
+def _ungrouped(text: Column) -> Column:
+    return bound(text, _without_groups)
+
+
+def _without_groups(c: Column) -> Column:
     commas, dots = F.regexp_count(c, F.lit(",")), F.regexp_count(c, F.lit(r"\."))
     no = lambda mark: F.replace(c, F.lit(mark), F.lit(""))
     point = F.length(F.regexp_replace(c, r".*\.", "")) < F.length(F.regexp_replace(c, ".*,", ""))  # the point comes later
@@ -74,8 +86,12 @@ def _ungrouped(c: Column) -> Column:
     return F.regexp_replace(text, "[ '_]", "")
 
 
-def number(c: Column, config: NumberConversion) -> Column:
+def number(text: Column, config: NumberConversion) -> Column:
     """The number that a trimmed text writes, as a double, or null."""
+    return bound(text, lambda c: _number(c, config))
+
+
+def _number(c: Column, config: NumberConversion) -> Column:
     steps = [_finite(F.when(c.rlike(f"^{FLOAT}$"), c))]
     if config.percent:
         steps += [_part(c, f"({FLOAT})%"), _part(c, f"({FLOAT})‰") / 1000, _part(c, f"({FLOAT})‱") / 10000]
@@ -85,8 +101,9 @@ def number(c: Column, config: NumberConversion) -> Column:
         steps += [_part(c, rf"({FLOAT})\s*[{k}]") * x for k, x in (("kK", 1e3), ("mM", 1e6), ("bB", 1e9), ("tT", 1e12))]
     if config.fractions:
         form = rf"(?:({FLOAT})\s+)?({FLOAT})\s*/\s*({FLOAT})"
-        whole, part = _part(c, form, 1), F.try_divide(_part(c, form, 2), F.nullif(_part(c, form, 3), F.lit(0.0)))
-        steps.append(F.when(whole.isNull(), part).when(whole < 0, whole - part).otherwise(whole + part))
+        parts = F.struct(_part(c, form, 1).alias("whole"), F.try_divide(_part(c, form, 2), F.nullif(_part(c, form, 3), F.lit(0.0))).alias("part"))
+        added = lambda x: F.when(x["whole"].isNull(), x["part"]).when(x["whole"] < 0, x["whole"] - x["part"]).otherwise(x["whole"] + x["part"])
+        steps.append(F.when(F.contains(c, F.lit("/")), bound(parts, added)))
     if config.radix:
         for digits, base, mark in (("[0-9a-fA-F]{1,15}", 16, "xX"), ("[01]{1,62}", 2, "bB"), ("[0-7]{1,20}", 8, "oO")):
             found = F.nullif(F.regexp_extract(c, rf"^-?\s*0[{mark}]({digits})$", 1), F.lit(""))
@@ -99,14 +116,17 @@ def number(c: Column, config: NumberConversion) -> Column:
         marks = "|".join(p.replace("$", "\\$") for p in CURRENCY_PREFIXES)
         body = F.regexp_replace(body, rf"^(?:{marks})?\s*[{SYMBOLS}]*\s*(?:[A-Z]{{3}} +(?=.))?", "")
         body = F.trim(F.regexp_replace(body, rf"[{SYMBOLS}]*" + "".join(f"(?:{m})*" for m in CREDIT_MARKS) + "$", ""))
-    plain = _ungrouped(body)
-    value = _finite(F.when(plain.rlike(f"^{FLOAT}$"), plain))
+    value = bound(_ungrouped(body), lambda plain: _finite(F.when(plain.rlike(f"^{FLOAT}$"), plain)))
     steps.append(F.when(c.rlike(around), -value).otherwise(value))
     return F.when(c.rlike("[0-9]"), F.coalesce(*steps))
 
 
-def utc_date(c: Column) -> Column:
+def utc_date(text: Column) -> Column:
     """Canonical text of a date (YYYY-MM-DD) or datetime (UTC, Z), or null."""
+    return bound(text, _utc_date)
+
+
+def _utc_date(c: Column) -> Column:
     day = r"([0-9]{4})([-/.])([0-9]{2})\2([0-9]{2})"
     g = lambda form, k: F.regexp_extract(c, f"^{form}$", k)
     dashed = lambda *parts: F.concat_ws("-", *parts).try_cast("date").cast("string")
@@ -142,12 +162,12 @@ def utc_date(c: Column) -> Column:
     )
 
 
-def _dated(c: Column, config: DateConversion) -> tuple[Column, Column]:
-    """(canonical form or null, the text to show)."""
-    found = utc_date(c)
-    zoned = c.rlike(r"[Zz]$|\+|[T ][0-9:.]+-")
+def _dated(t: Column, config: DateConversion) -> Column:
+    """The text that a recognised date shows (its own if it may not be rewritten), or null."""
+    maybe = t.rlike("^[0-9]{4}(?:[-/.].{3}|[0-9]{4}$|[0-9]{4}T.{6})")
+    zoned = t.rlike(r"[Zz]$|\+|[T ][0-9:.]+-")
     rewrite = F.when(zoned, F.lit(config.normalize_to_utc)).otherwise(F.lit(config.assume_utc_for_naive))
-    return found, F.when(rewrite, found).otherwise(c)
+    return F.when(maybe, bound(utc_date(t), lambda found: F.when(found.isNotNull() & ~rewrite, t).otherwise(found)))
 
 
 def converted(c: Column, config: Config) -> Column:
@@ -155,35 +175,48 @@ def converted(c: Column, config: Config) -> Column:
     text = replaced(c, config.value_replacements)
     if config.remove_empty_strings:
         text = F.when((c != "") & (text != ""), text)
+    whole = F.struct(text.alias("text"), trimmed(text).alias("t"))
+    found = lambda x: F.struct(
+        x["text"].alias("text"), x["t"].alias("t"),
+        (_dated(x["t"], config.dates) if config.dates.enabled else F.lit(None).cast("string")).alias("date"),
+        (_numeric(x["t"], config) if config.numbers.enabled else F.lit(None).cast("double")).alias("number"),
+    )
+    if not config.converts:
+        return F.struct(F.when(text.isNotNull(), TEXT).otherwise(0).alias("kind"), text.alias("text"))
+    return bound(whole, lambda x: bound(found(x), lambda y: _chosen(y, config)))
+
+
+def _numeric(t: Column, config: Config) -> Column:
+    may = t.rlike(r"^(?:[0-9+.$(\[-]|[A-Z]|[^\x00-\x7f])") & ~t.rlike("^[NTFYO]")
+    return F.when(may, number(t, config.numbers))
+
+
+def _chosen(x: Column, config: Config) -> Column:
+    """The first category that fits, as struct<kind, text>."""
     made = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("text"))
+    text, t, shown, value = x["text"], x["t"], x["date"], x["number"]
     nothing = made(0, F.lit(None).cast("string"))
-    t, first = trimmed(text), F.substring(trimmed(text), 1, 1)
-    steps: list[tuple[Column, Column]] = []
+    steps: list[tuple[Column, Column]] = [(text.isNull(), nothing)]
     n, b = config.nulls, config.booleans
     if n.enabled:
         steps.append((t.isin(*NULL_TOKENS), nothing))
     if b.enabled:
         steps += [(t.isin(*TRUE_TOKENS), made(BOOL, F.lit("true"))), (t.isin(*FALSE_TOKENS), made(BOOL, F.lit("false")))]
     if config.dates.enabled:
-        found, shown = _dated(t, config.dates)
-        maybe = t.rlike("^[0-9]{4}(?:[-/.].{3}|[0-9]{4}$|[0-9]{4}T.{6})")
         day = shown.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
         time = shown.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:[.][0-9]+)?(?:Z|[+-][0-9]{2}:[0-9]{2})$")
-        steps.append((maybe & found.isNotNull(), F.when(day, made(DATE, shown)).when(time, made(TIME, shown)).otherwise(made(TEXT, shown))))
+        steps.append((shown.isNotNull(), F.struct(F.when(day, DATE).when(time, TIME).otherwise(TEXT).alias("kind"), shown.alias("text"))))
     if config.numbers.enabled:
-        may = first.rlike(r"[0-9+.$(\[-]|[A-Z]|[^\x00-\x7f]") & ~first.isin(*"NTFYO")
         exact = t.rlike("^(?:-?[1-9][0-9]{0,18}|0)$") & t.try_cast("bigint").isNotNull()
-        value = number(t, config.numbers)
-        whole = (value == F.floor(value)) & (F.abs(value) < 9.2e18)
-        as_number = F.when(exact, made(INT, t)).when(whole, made(INT, value.try_cast("bigint").cast("string"))).when(value.isNotNull(), made(FLOAT_KIND, value.cast("string")))
-        steps.append((may & (exact | value.isNotNull()), as_number))
+        integral = (value == F.floor(value)) & (F.abs(value) < 9.2e18)
+        steps += [(exact, made(INT, t)), (integral, made(INT, value.try_cast("bigint").cast("string"))), (value.isNotNull(), made(FLOAT_KIND, value.cast("string")))]
     if n.enabled and n.extra_tokens:
         steps.append((t.isin(*n.extra_tokens), nothing))
     if b.enabled and b.extra_true_tokens:
         steps.append((t.isin(*b.extra_true_tokens), made(BOOL, F.lit("true"))))
     if b.enabled and b.extra_false_tokens:
         steps.append((t.isin(*b.extra_false_tokens), made(BOOL, F.lit("false"))))
-    out = F.when(text.isNull(), nothing)
+    out = None
     for test, result in steps:
-        out = out.when(test, result)
+        out = F.when(test, result) if out is None else out.when(test, result)
     return out.otherwise(made(TEXT, text))

@@ -156,7 +156,7 @@ def project(docs: DataFrame, column: str, config: Config, schema: T.StructType)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = kernel(wire)
-        arrow = to_arrow_schema(inner, timezone="UTC")
+        arrow = to_arrow_schema(inner)
         for batch in batches:
             columns: list[list] = [[] for _ in names]
             for text in batch.column(0).to_pylist():
