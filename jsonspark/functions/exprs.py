@@ -138,7 +138,7 @@ def _utc_date(c: Column) -> Column:
         shift = F.when(zone.startswith("+"), -minutes).when(zone.startswith("-"), minutes).otherwise(F.lit(0))
         return F.when(c.rlike(f"^{form}$"), F.date_format(local + F.make_dt_interval(mins=shift), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
 
-    full = day + r"[T ]([0-9]{2}:[0-9]{2}:[0-9]{2})(?:[.-][0-9]+)?(|Z|z|[+-][0-9]{2}:[0-9]{2})"
+    full = day + r"[T ]([0-9]{2}:[0-9]{2}:[0-9]{2})(?:\.[0-9]+)?(|Z|z|[+-][0-9]{2}:[0-9]{2})"
     short = day + r"[T ]([0-9]{2}:[0-9]{2})(Z?)"
     offset = day + r"[T ]([0-9]{2}:[0-9]{2}:[0-9]{2})(?:\.[0-9]{2}|\.[0-9]{3}|\.[0-9]{6})?([+-][0-9]{2}(?:[0-9]{2})?)"
     compact = r"([0-9]{4})([0-9]{2})([0-9]{2})T([0-9]{2})([0-9]{2})([0-9]{2})(|Z|[+-][0-9]{2}:?[0-9]{2})"
