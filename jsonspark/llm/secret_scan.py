@@ -3,8 +3,8 @@
 The base rules find assignments, access keys and hex strings.  The model adds
 long tokens that look random: two character Markov models, one of random
 strings (the values the base rules found: the labelled positives) and one of
-ordinary identifiers (long tokens of texts without any base finding: the
-negatives), are compared by their log-likelihood ratio.
+ordinary identifiers (long tokens of texts without any base finding, but for the
+tokens that the model would have to judge: the negatives), are compared by their log-likelihood ratio.
 
 Offsets come from ``split`` and ``regexp_extract_all`` of the same pattern:
 what lies between the matches and the matches themselves, whose lengths add up.
@@ -32,7 +32,8 @@ class Settings:
     min_token: int = 20  #: shortest token that the model may add
     min_training_token: int = 12  #: shortest ordinary token that it learns from
     min_ratio: float = 12.0  #: natural log-likelihood ratio from which a token is a secret
-    smoothing: float = 0.5
+    smoothing: float = 0.5  #: added to the count of each character
+    weight: float = 5.0  #: how many bigrams the prior of a character's followers counts for
 
 
 def _spans(text: Column, pattern: str, kind: int, ok: Column | None = None, keep=None) -> Column:
@@ -72,15 +73,21 @@ def base_spans(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def _tokens(text: Column, least: int) -> Column:
-    return F.regexp_extract_all(text, F.lit("[A-Za-z0-9+/_=-]{%d,}" % least), F.lit(0))
+def _judged(value: Column) -> Column:
+    """Whether the model decides about a token: it has a letter and a digit."""
+    return value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+
+
+def _ordinary(text: Column, settings: Settings) -> Column:
+    found = F.regexp_extract_all(text, F.lit("[A-Za-z0-9+/_=-]{%d,}" % settings.min_training_token), F.lit(0))
+    return F.filter(found, lambda v: (F.length(v) < settings.min_token) | ~_judged(v))
 
 
 def labelled_samples(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(value, label): 1 for what the base rules found, 0 for long tokens of texts where they found nothing."""
     found = base_spans(docs)
     return found.select(
-        F.when(F.size("base") > 0, F.transform("base", lambda b: b["v"])).otherwise(_tokens(F.col("text"), settings.min_training_token)).alias("v"),
+        F.when(F.size("base") > 0, F.transform("base", lambda b: b["v"])).otherwise(_ordinary(F.col("text"), settings)).alias("v"),
         F.when(F.size("base") > 0, 1).otherwise(0).alias("label"),
     ).select(F.explode("v").alias("value"), "label")
 
@@ -101,13 +108,21 @@ def train(samples: DataFrame, settings: Settings = Settings()) -> list[float]:
     counts: dict[int, dict[str, int]] = {0: {}, 1: {}}
     for r in pairs.collect():
         counts[r["label"]][r["pair"]] = r["n"]
-    size = len(ALPHABET)
     table = [0.0] * (128 * 128)
+    if not counts[0] and not counts[1]:
+        return table
+    single = {k: {b: sum(n for pair, n in own.items() if pair[1] == b) for b in ALPHABET} for k, own in counts.items()}
+
+    def likely(k: int, a: str, b: str, row: int, whole: int) -> float:
+        """P(b | a) of a class, smoothed towards the class's own P(b), and that towards uniform."""
+        alone = (single[k][b] + settings.smoothing) / (whole + settings.smoothing * len(ALPHABET))
+        return (counts[k].get(a + b, 0) + settings.weight * alone) / (row + settings.weight)
+
+    whole = {k: sum(single[k].values()) for k in (0, 1)}
     for a in ALPHABET:
-        rows = {k: sum(counts[k].get(a + b, 0) for b in ALPHABET) for k in (0, 1)}
+        row = {k: sum(counts[k].get(a + b, 0) for b in ALPHABET) for k in (0, 1)}
         for b in ALPHABET:
-            p = {k: math.log((counts[k].get(a + b, 0) + settings.smoothing) / (rows[k] + settings.smoothing * size)) for k in (0, 1)}
-            table[128 * ord(a) + ord(b)] = p[1] - p[0] if any(counts[0].values()) or any(counts[1].values()) else 0.0
+            table[128 * ord(a) + ord(b)] = math.log(likely(1, a, b, row[1], whole[1]) / likely(0, a, b, row[0], whole[0]))
     return table
 
 
@@ -135,7 +150,7 @@ def secret_scan(docs: DataFrame, settings: Settings = Settings(), table: list[fl
     token = r"[A-Za-z0-9+/_=-]{%d,}" % settings.min_token
     df = base_spans(docs, carry).withColumn("more", _spans(F.col("text"), token, 3))
     random = (
-        F.filter("more", lambda m: m["v"].rlike("[0-9]") & m["v"].rlike("[A-Za-z]") & ~F.exists("base", lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"])) & (ratio(m["v"], table) >= settings.min_ratio))
+        F.filter("more", lambda m: _judged(m["v"]) & ~F.exists("base", lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"])) & (ratio(m["v"], table) >= settings.min_ratio))
     )
     return df.select(*[c for c in df.columns if c != "more"], F.array_sort(F.concat("base", random)).alias("found"))
 
