@@ -96,7 +96,8 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, setting
         found.select("doc_id", "n_words", "sh", F.explode(F.flatten(F.array(*[starts(n) for n in sizes]))).alias("w"))
         .select("doc_id", "w.s", "w.size", F.least(F.col("w.span"), F.col("n_words") - F.col("w.s")).alias("span"), window(F.col("sh"), F.col("w.s"), F.col("w.span")).alias("sh"))
     )
-    sign = lambda sh: F.array(*[F.array_min(F.transform(sh, lambda x, j=j: F.xxhash64(x, F.lit(j)))) for j in range(settings.bands)])
+    minimum = lambda sh, band: F.array_min(F.transform(sh, lambda x: F.xxhash64(x, F.lit(band))))
+    sign = lambda sh: F.array(*[minimum(sh, band) for band in range(settings.bands)])
     signed = spark.createDataFrame([(r["license"], r["n_words"], r["t"]) for r in rows], "license string, size int, t array<bigint>").select(
         "license", "size", "t", F.posexplode(sign(F.col("t"))).alias("band", "low")
     )
