@@ -48,10 +48,10 @@ NEVER = np.uint64(2**64 - 1)
 
 @dataclass(frozen=True)
 class Settings:
-    group_bytes: int = 8_000_000  #: text of a group
-    bucket_anchors: int = 600_000  #: of a bucket, about
+    group_bytes: int = 4_000_000  #: text of a group
+    bucket_anchors: int = 300_000  #: of a bucket, about
     max_contexts: int = 5_000  #: occurrences of an anchor beyond which its strings are sent one by one
-    array_bytes: int = 400_000  #: of a suffix array, about; an anchor's contexts stay together
+    array_symbols: int = 200_000  #: of a suffix array, about; an anchor's contexts stay together
 
 
 def _slid(values: np.ndarray, count: int, join, empty) -> np.ndarray:
@@ -293,34 +293,44 @@ def _ask_contexts(bits: int):
 
 
 def smallest_documents(rows: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For distinct contexts, a (contexts, WINDOW) array: the smallest document with each string, by a suffix array."""
-    begin, size = REACH - left, left + right
-    ends = np.cumsum(size + 1)  # a zero after each context, below every byte of a text plus one
+    """For distinct contexts, a (contexts, WINDOW) array: the smallest document with each string, by a suffix array.
+
+    The contexts of one anchor lie side by side in ``rows``.  The anchor itself,
+    the same in all of them, is one symbol of the text that is sorted, named
+    after its bytes; so a string is WINDOW symbols.
+    """
+    reach = right - GRAM
+    size = left + 1 + reach
+    ends = np.cumsum(size + 1)  # a zero after each context, below every other symbol
+    begins = ends - size - 1
     flat = np.zeros(ends[-1], np.int64)
-    where = np.repeat(ends - size - 1, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    source = np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     owner = np.repeat(np.arange(len(rows)), size)
-    flat[where] = rows[owner, source].astype(np.int64) + 1
+    beside = inner - left[owner]  # the anchor is at 0
+    source = REACH + np.where(beside > 0, beside + GRAM - 1, beside)
+    middle = rows[:, REACH : REACH + GRAM]
+    named = np.cumsum(np.concatenate([[False], (middle[1:] != middle[:-1]).any(axis=1)]))
+    flat[begins[owner] + inner] = np.where(beside == 0, 257 + named[owner], rows[owner, source].astype(np.int64) + 1)
     string = np.full(len(flat), -1)
-    starts = np.maximum(size - LENGTH + 1, 0)
+    starts = np.maximum(size - WINDOW + 1, 0)
     inner = np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts)
     who = np.repeat(np.arange(len(rows)), starts)
-    string[np.repeat(ends - size - 1, starts) + inner] = np.arange(len(who))
+    string[np.repeat(begins, starts) + inner] = np.arange(len(who))
     array = np.array(suffix_array(flat), np.int64)
     array = array[string[array] >= 0]
-    span, small = np.arange(LENGTH), flat.astype(np.uint16)
+    span, small = np.arange(WINDOW), flat.astype(np.int32)
     new = np.ones(len(array), bool)
     for k in range(1, len(array), 20_000):
         a, b = array[k - 1 : k + 19_999], array[k : k + 20_000]
         new[k : k + 20_000] = (small[a[: len(b), None] + span] != small[b[:, None] + span]).any(axis=1)
-    named = string[array]
-    low = np.minimum.reduceat(doc[who[named]], np.flatnonzero(new)) if len(array) else np.empty(0, np.int64)
+    found = string[array]
+    low = np.minimum.reduceat(doc[who[found]], np.flatnonzero(new)) if len(array) else np.empty(0, np.int64)
     out = np.full((len(rows), WINDOW), 2**63 - 1)
-    out[who[named], inner[named]] = low[np.cumsum(new) - 1]
+    out[who[found], inner[found]] = low[np.cumsum(new) - 1]
     return out
 
 
-def _answer_contexts(array_bytes: int):
+def _answer_contexts(array_symbols: int):
     def run(table: pa.Table) -> pa.Table:
         rows = list(zip(*[table.column(c).to_pylist() for c in ("g", "bucket", "keys", "more", "kind")]))
         out = []
@@ -338,14 +348,14 @@ def _answer_contexts(array_bytes: int):
             context = np.concatenate([_loosen(r[2], np.uint8).reshape(-1, WIDTH) for r in asked])
             parts = [_loosen(r[3], np.uint64).reshape(-1, 3) for r in asked]
             cuts = np.cumsum([len(p) for p in parts])[:-1]
-            masks = _masks(context, np.concatenate(parts), array_bytes)
+            masks = _masks(context, np.concatenate(parts), array_symbols)
             out += [(r[0], r[1], 1, _squeeze(part)) for r, part in zip(asked, np.split(masks.astype(np.uint32), cuts))]
         return _table(out, TOLD)
 
     return run
 
 
-def _masks(context: np.ndarray, notes: np.ndarray, array_bytes: int) -> np.ndarray:
+def _masks(context: np.ndarray, notes: np.ndarray, array_symbols: int) -> np.ndarray:
     h, doc = notes[:, 0], notes[:, 1].astype(np.int64)
     left, right = (notes[:, 2] & np.uint64(255)).astype(np.int64), (notes[:, 2] >> np.uint64(8)).astype(np.int64)
     blob, digest = context.tobytes(), xxhash.xxh3_64_intdigest
@@ -369,13 +379,16 @@ def _masks(context: np.ndarray, notes: np.ndarray, array_bytes: int) -> np.ndarr
 
     for k in np.flatnonzero(count > 1):
         batch.append(np.arange(change[k], change[k] + count[k]))
-        pending += int(count[k]) * WIDTH
-        if pending >= array_bytes:
+        pending += int(count[k]) * (2 * REACH + 2)
+        if pending >= array_symbols:
             solve()
             batch, pending = [], 0
     if batch:
         solve()
-    return ((low[distinct] < doc[:, None]).astype(np.int64) << np.arange(WINDOW)).sum(axis=1)
+    mask = np.zeros(len(h), np.int64)
+    for k in range(WINDOW):
+        mask |= (low[distinct, k] < doc).astype(np.int64) << k
+    return mask
 
 
 def _remove(id_type: pa.DataType):
@@ -414,7 +427,7 @@ def suffix_dedup(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     packs = pack(docs.select("doc_id", F.col("text").cast("string").alias("text")), group_count(size, settings.group_bytes))
     cogroup = lambda told, f, schema: packs.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(f, schema)
     shared = saved(packs.groupBy("g").applyInArrow(_ask_anchors(bits), ASKED).groupBy("bucket").applyInArrow(_answer_anchors(settings.max_contexts), TOLD))
-    found = saved(cogroup(shared, _ask_contexts(bits), ASKED).groupBy("bucket").applyInArrow(_answer_contexts(settings.array_bytes), TOLD))
+    found = saved(cogroup(shared, _ask_contexts(bits), ASKED).groupBy("bucket").applyInArrow(_answer_contexts(settings.array_symbols), TOLD))
     id_type = docs.schema["doc_id"].dataType
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType())])
