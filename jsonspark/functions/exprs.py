@@ -93,12 +93,13 @@ def number(text: Column, config: NumberConversion) -> Column:
 
 def _number(c: Column, config: NumberConversion) -> Column:
     steps = [_finite(F.when(c.rlike(f"^{FLOAT}$"), c))]
+    last = F.right(c, F.lit(1))  # cheap tests first: most forms show in the last character
     if config.percent:
-        steps += [_part(c, f"({FLOAT})%"), _part(c, f"({FLOAT})‰") / 1000, _part(c, f"({FLOAT})‱") / 10000]
+        steps += [F.when(last == mark, _part(c, f"({FLOAT}){mark}") / by) for mark, by in (("%", 1), ("‰", 1000), ("‱", 10000))]
     if config.basis_points:
-        steps.append(_part(c, rf"({FLOAT})\s*bps?") / 10000)
+        steps.append(F.when(last.isin("p", "s"), _part(c, rf"({FLOAT})\s*bps?") / 10000))
     if config.suffixes:
-        steps += [_part(c, rf"({FLOAT})\s*[{k}]") * x for k, x in (("kK", 1e3), ("mM", 1e6), ("bB", 1e9), ("tT", 1e12))]
+        steps += [F.when(last.isin(*k), _part(c, rf"({FLOAT})\s*[{k}]") * x) for k, x in (("kK", 1e3), ("mM", 1e6), ("bB", 1e9), ("tT", 1e12))]
     if config.fractions:
         form = rf"(?:({FLOAT})\s+)?({FLOAT})\s*/\s*({FLOAT})"
         parts = F.struct(_part(c, form, 1).alias("whole"), F.try_divide(_part(c, form, 2), F.nullif(_part(c, form, 3), F.lit(0.0))).alias("part"))
@@ -108,9 +109,9 @@ def _number(c: Column, config: NumberConversion) -> Column:
         for digits, base, mark in (("[0-9a-fA-F]{1,15}", 16, "xX"), ("[01]{1,62}", 2, "bB"), ("[0-7]{1,20}", 8, "oO")):
             found = F.nullif(F.regexp_extract(c, rf"^-?\s*0[{mark}]({digits})$", 1), F.lit(""))
             value = F.conv(found, base, 10).try_cast("double")
-            steps.append(F.when(c.startswith("-"), -value).otherwise(value))
+            steps.append(F.when(F.substring(c, 1, 2).isin("0" + mark[0], "0" + mark[1]) | c.startswith("-"), F.when(c.startswith("-"), -value).otherwise(value)))
     around = r"^(?:\((.*)\)|\[(.*)\]|(.*)-|-(.*))$"
-    body = F.when(c.rlike(around), F.concat(*[F.coalesce(F.regexp_extract(c, around, k), F.lit("")) for k in (1, 2, 3, 4)])).otherwise(c)
+    body = F.regexp_replace(c, around, "$1$2$3$4")  # a group that took no part is empty
     body = F.regexp_replace(F.trim(body), r"^\+\s*", "")
     if config.currency:
         marks = "|".join(p.replace("$", "\\$") for p in CURRENCY_PREFIXES)

@@ -96,6 +96,12 @@ def static_leaves(schema: T.StructType, separator: str) -> list[tuple[str, Colum
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A frame of fewer partitions than there are cores, dealt to all cores; any larger one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
+
+
 def flatten_static(df: DataFrame, config: Config) -> DataFrame | None:
     """Flattening by one select (and, if text is converted, one aggregation that finds the types), or None if it takes the kernel."""
     if config.remove_nulls or config.value_exclusions or not df.columns:
@@ -107,7 +113,8 @@ def flatten_static(df: DataFrame, config: Config) -> DataFrame | None:
     used = sorted({i for p in plan for i in p.sources})
     text = [i for i in used if isinstance(leaves[i][2], T.StringType)]
     changed = bool(config.converts or config.value_replacements or config.remove_empty_strings)
-    inner = df.select(*[(converted(leaves[i][1], config) if changed and i in text else leaves[i][1]).alias(f"c{i}") for i in used])
+    source = spread(df) if config.converts and text else df
+    inner = source.select(*[(converted(leaves[i][1], config) if changed and i in text else leaves[i][1]).alias(f"c{i}") for i in used])
     kinds = {i: leaves[i][2] for i in used}
     if changed and text:
         if config.converts:
