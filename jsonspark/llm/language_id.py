@@ -200,7 +200,7 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     return fit(chosen, settings)
 
 
-def predict(docs: DataFrame, model: Model, chunk_chars: int = 6_000_000, carry: tuple[str, ...] = (), segments: bool = False, max_cached: int = 400_000) -> DataFrame:
+def predict(docs: DataFrame, model: Model, chunk_chars: int = 2_000_000, carry: tuple[str, ...] = (), segments: bool = False, max_cached: int = 200_000) -> DataFrame:
     """doc_id, lang_pred, score, and the columns named in ``carry``; with ``segments``, the runs of words of one language.
 
     ``und`` with score 0 for a text that is null or has no letter, and for all if

@@ -28,7 +28,7 @@ SPACE = "▁"
 class PieceCodec:
     """Encodes and decodes with the pieces and scores of a SentencePiece BPE model file."""
 
-    def __init__(self, model_file: str, max_cached: int = 600_000):
+    def __init__(self, model_file: str, max_cached: int = 400_000):
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()
@@ -233,5 +233,6 @@ def encode_decode(docs: DataFrame, model_file: str, chunk_chars: int = 2_000_000
                     ["doc_id", "ids", "decoded"],
                 )
                 at = end
+        c._forget()  # a reused worker keeps no more than the model
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
