@@ -22,7 +22,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shingles import SIZE, window, with_shingles
+from .shingles import window, with_shingles
 
 
 @dataclass(frozen=True)
