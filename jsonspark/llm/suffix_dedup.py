@@ -223,6 +223,18 @@ def _loosen(cell: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(cell), kind)
 
 
+def _noted(h: np.ndarray, doc: np.ndarray, spans: np.ndarray) -> bytes:
+    """Sorted anchors as their differences, smallest documents and spans, a column after the other."""
+    return _squeeze(np.concatenate([np.diff(h, prepend=np.uint64(0)), doc.astype(np.uint64), spans.astype(np.uint64)]))
+
+
+def _read_notes(cell: bytes) -> np.ndarray:
+    """(n, 3): anchor, smallest document, span."""
+    notes = _loosen(cell, np.uint64).reshape(3, -1).T.copy()
+    notes[:, 0] = np.cumsum(notes[:, 0], dtype=np.uint64)
+    return notes
+
+
 def _table(rows: list[tuple], names: str) -> pa.Table:
     fields = [x.split() for x in names.split(", ")]
     kinds = {"long": pa.int64(), "binary": pa.binary(), "int": pa.int32()}
@@ -281,9 +293,9 @@ def _ask_contexts(bits: int):
         group = _coded(packs, _answered(told, 0))
         h, pick, doc = group.entry
         _, _, left, right = group.occurs
-        notes = np.stack([h.astype(np.uint64), doc.astype(np.uint64), (left[pick] | right[pick] << 8).astype(np.uint64)], axis=1) if len(h) else np.empty((0, 3), np.uint64)
+        spans = left[pick] | right[pick] << 8
         context, cuts = group.context_rows(), _cuts(h, bits)
-        rows = [(b, g, 1, _squeeze(context[x:y]), _squeeze(notes[x:y])) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
+        rows = [(b, g, 1, _squeeze(context[x:y]), _noted(h[x:y], doc[x:y], spans[x:y])) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
         keys, docs = group.strings
         cuts = _cuts(keys, bits)
         rows += [(b, g, 2, keys[x:y].tobytes(), docs[x:y].tobytes()) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
@@ -346,7 +358,7 @@ def _answer_contexts(array_symbols: int):
         asked = [r for r in rows if r[4] == 1]
         if asked:
             context = np.concatenate([_loosen(r[2], np.uint8).reshape(-1, WIDTH) for r in asked])
-            parts = [_loosen(r[3], np.uint64).reshape(-1, 3) for r in asked]
+            parts = [_read_notes(r[3]) for r in asked]
             cuts = np.cumsum([len(p) for p in parts])[:-1]
             masks = _masks(context, np.concatenate(parts), array_symbols)
             out += [(r[0], r[1], 1, _squeeze(part)) for r, part in zip(asked, np.split(masks.astype(np.uint32), cuts))]
