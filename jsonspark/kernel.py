@@ -55,6 +55,18 @@ def parse(text: str):
         raise JsonSparkError("E004" if text[:1] in ("{", "[") else "E001", str(e)) from None
 
 
+def value_of(fragment: str):
+    """The value of a piece of JSON text that the kernel has made; plain scalars need no parser."""
+    first = fragment[0]
+    if first == '"' and "\\" not in fragment:
+        return fragment[1:-1]
+    if first in "-0123456789":
+        return Num(fragment)
+    if first in "tfn":
+        return {"t": True, "f": False, "n": None}[first]
+    return parse(fragment)
+
+
 def quoted(text: str) -> str:
     """A JSON string; only quotes, backslashes and control characters are escaped."""
     return f'"{_special.sub(lambda m: _escapes[m[0]], text)}"'

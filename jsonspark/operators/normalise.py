@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from ..config import Config
 from ..convert import utc_date
 from ..errors import JsonSparkError
-from ..kernel import Num, Obj, kernel, parse, render
+from ..kernel import Num, Obj, kernel, render, value_of
 
 # Bits of a key's kinds.
 BOOL, INT, FLOAT, TEXT, DATE, TIME, LIST = (1 << k for k in range(7))
@@ -43,7 +43,7 @@ def kind_of(value, dates: bool) -> int:
 
 
 def kinds_of(text: str, dates: bool) -> int:
-    value = parse(text)
+    value = value_of(text)
     if isinstance(value, list) and text.lstrip().startswith("["):
         bits = LIST
         for item in value:
@@ -163,7 +163,7 @@ def project(docs: DataFrame, column: str, config: Config, schema: T.StructType)
                 own = {} if text is None else dict(k.entries(text))
                 for out, name, kind in zip(columns, names, kinds):
                     raw = own.get(name)
-                    out.append(None if raw is None else (raw if raw == "{}" and isinstance(kind, T.StringType) else typed(parse(raw), kind)))
+                    out.append(None if raw is None else (raw if raw == "{}" and isinstance(kind, T.StringType) else typed(value_of(raw), kind)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return docs.select(F.col(f"`{column}`").alias("doc")).mapInArrow(rows, inner).toDF(*names)
