@@ -30,18 +30,25 @@ SEED = 42
 ALL = (1 << 64) - 1
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """SimHash of the word shingles of a text, repeats included; zero without words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the word shingles of a text, repeats included; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes.lower and .split know ASCII alone
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
     ends = ends.tolist()
     size = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, ends[size - 1 :])), np.uint64, len(words) - size + 1)
+    return np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, ends[size - 1 :])), np.uint64, len(words) - size + 1)
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """SimHash of the word shingles of a text, repeats included; zero without words."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         part = hashes[k : k + (1 << 16)]
