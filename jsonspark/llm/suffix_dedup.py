@@ -95,7 +95,7 @@ def _grams(raw: np.ndarray) -> np.ndarray:
 
 def anchors(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places, hashes) of the anchors of texts that lie end to end; a text shorter than LENGTH has none."""
-    if not len(raw):
+    if len(raw) < GRAM:  # the shifts of _grams need so many bytes
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     to_end = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(raw))
     grams = _grams(raw)

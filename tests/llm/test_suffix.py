@@ -76,3 +76,18 @@ def test_empty(spark):
     assert suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     only = suffix_dedup(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()
     assert [(r["n_bytes"], r["n_removed"], r["kept"]) for r in only] == [(0, 0, b"")]
+
+
+def test_tiny_chunks(spark):
+    """A chunk of 1 to 30 bytes in all has no anchors; neither has a tiny text after one that fills a chunk."""
+    import numpy as np
+
+    from jsonspark.llm.suffix_dedup import anchors
+
+    for n in range(1, 31):
+        at, hashes = anchors(np.full(n, 97, np.uint8), np.array([n]))
+        assert len(at) == len(hashes) == 0
+    for rows in ([(1, "short")], [(1, "x" * 1_000_001), (2, "abc")]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        out = {r["doc_id"]: (r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in suffix_dedup(docs).collect()}
+        assert out == {i: (len(t), 0, t.encode()) for i, t in rows}
