@@ -1,46 +1,38 @@
-"""Benchmark decontamination [native]: SimHash of item-sized windows, multi-index Hamming blocks, exact similarity.
-
-A window has as many words as an item and a 64-bit SimHash of its five-word
-shingles.  Fingerprints are cut into ``blocks`` blocks.  If two differ in at most
-``radius`` = blocks * (each + 1) - 1 bits, some block differs in at most ``each``
-bits; the items' blocks are listed with all values within that distance, so an
-equi-join on (size, block, value) finds every pair within the radius.  Each is
-verified exactly: the weighted share of the item's shingles that the window has,
-a shingle that fewer items have weighing more.
-
-Windows are placed where a text shares a shingle with an item of that size, at
-the offset the two shingles give.  Elsewhere the similarity is zero, so no
-window that could be verified is left out for want of a shared shingle.  The
-items' tables are broadcast up to ``max_broadcast`` rows and shuffled beyond.
+"""Benchmark decontamination [native]: item-sized windows where shingles are shared, exact similarity.
+
+The similarity is the weighted share of an item's five-word shingles that a
+window of as many words has; a shingle that fewer items have weighs more.  A
+document can hold an item only if the whole document has that share, which a
+join on the shingles tells exactly.  Windows of such documents are placed where
+a shingle is shared, at the offset the two shingles give, and each is verified
+exactly; elsewhere the similarity is zero, so no window is left out.  The 64-bit
+SimHash of a window found is reported as differing bits; it drops nothing.  The items' tables are broadcast up to ``max_broadcast`` rows and
+shuffled beyond.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shingles import window, with_shingles
+from .common import saved
+from .shingles import SIZE, window, with_shingles
 
 
 @dataclass(frozen=True)
 class Settings:
     similarity: float = 0.8
     blocks: int = 5
-    each: int = 3  #: bits that a block may differ in
+    each: int = 3
     max_broadcast: int = 500_000  #: rows
 
     @property
     def radius(self) -> int:
+        """Differing bits within which unweighted windows mostly lie; no limit."""
         return self.blocks * (self.each + 1) - 1
 
-    def cuts(self) -> list[tuple[int, int]]:
-        """(first bit, number of bits) of each block."""
-        edges = [64 * k // self.blocks for k in range(self.blocks + 1)]
-        return [(a, b - a) for a, b in zip(edges, edges[1:])]
-
 
 def simhash(sh: Column) -> Column:
     """A bit is 1 if over half of the hashes have it."""
@@ -48,14 +40,10 @@ def simhash(sh: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(bit(b)))
 
 
-def _blocks(fp: Column, settings: Settings) -> Column:
-    return F.array(*[F.shiftrightunsigned(fp, a).bitwiseAND((1 << n) - 1) for a, n in settings.cuts()])
-
-
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """item_id, n_words and sh of the items that have a word."""
+    """item (a key), item_id, n_words and sh of the items that have a word."""
     named = benchmark.where("item_id is not null").select("item_id", F.col("text").cast("string").alias("text")).dropDuplicates(["item_id"])
-    return with_shingles(named).where("n_words > 0").select("item_id", "n_words", "sh")
+    return with_shingles(named.withColumn("item", F.xxhash64("item_id", "text"))).where("n_words > 0").select("item", "item_id", "n_words", "sh")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -70,46 +58,39 @@ def contamination(docs: DataFrame, benchmark: DataFrame, settings: Settings = Se
     """
     items = items_of(benchmark)
     total = items.count()
-    each = items.select("item_id", "n_words", F.posexplode("sh").alias("q", "h"))
-    weights = each.groupBy("h").agg(F.log1p(F.lit(float(total)) / F.count_distinct("item_id")).alias("weight"))
-    terms = each.select("item_id", "h").distinct().join(weights, "h").groupBy("item_id").agg(F.collect_list(F.struct("h", "weight")).alias("t"))
-    prints = items.join(terms, "item_id").select("item_id", "n_words", "t", simhash(F.col("sh")).alias("item_fp"))
-
-    offsets = each.select("h", "n_words", "q").distinct()
+    each = items.select("item", "n_words", F.posexplode("sh").alias("q", "h"))
+    weights = each.groupBy("h").agg(F.log1p(F.lit(float(total)) / F.count_distinct("item")).alias("weight"))
+    terms = each.groupBy("item", "n_words", "h").agg(F.collect_list("q").alias("qs")).join(weights, "h")
+    summed = lambda t: F.aggregate(F.array_sort(t), F.lit(0.0), lambda a, x: a + x["weight"])
+    whole = terms.groupBy("item").agg(summed(F.collect_list(F.struct("h", "weight"))).alias("whole"))
+    shares = terms.join(whole, "item").select("h", "item", F.col("n_words").alias("size"), "qs", "weight", "whole")
     small = lambda df: F.broadcast(df) if df.limit(settings.max_broadcast + 1).count() <= settings.max_broadcast else df
-    base = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text"))
+
+    base = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("text"))
     hits = (
-        with_shingles(base).select("doc_id", F.col("n_words").alias("doc_words"), F.posexplode("sh").alias("p", "h"))
-        .join(small(offsets), "h")
-        .select("doc_id", F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("doc_words") - F.col("n_words"))).alias("s"), F.col("n_words").alias("size"))
-        .distinct()
+        with_shingles(base).select("doc_id", "row", F.col("n_words").alias("doc_words"), F.posexplode("sh").alias("p", "h"))
+        .join(small(shares), "h")
+        .groupBy("doc_id", "row", "doc_words", "item", "size", "whole").agg(F.collect_set(F.struct("h", "weight", "p", "qs")).alias("hits"))
     )
-    placed = hits.groupBy("doc_id").agg(F.collect_list(F.struct("s", "size")).alias("at"))
-    windows = (
-        with_shingles(base.join(placed, "doc_id")).select("doc_id", "sh", F.explode("at").alias("w"))
-        .select("doc_id", "w.s", "w.size", window(F.col("sh"), F.col("w.s"), F.col("w.size")).alias("sh"))
-        .withColumn("fp", simhash(F.col("sh")))
-    )
-    # Every value of a block within ``each`` bits, as differences to apply to the item's own value.
-    near = F.array(*[
-        F.array(*[F.lit(sum(1 << i for i in c)).cast("bigint") for r in range(settings.each + 1) for c in combinations(range(n), r)]) for _, n in settings.cuts()
-    ])
-    listed = (
-        prints.select("item_id", "n_words", "item_fp", F.posexplode(_blocks(F.col("item_fp"), settings)).alias("block", "value"))
-        .select("item_id", F.col("n_words").alias("size"), "item_fp", "block", F.explode(F.transform(F.get(near, F.col("block")), lambda d: d.bitwiseXOR(F.col("value")))).alias("value"))
-    )
-    pairs = (
-        windows.select("doc_id", "s", "size", "fp", "sh", F.posexplode(_blocks(F.col("fp"), settings)).alias("block", "value"))
-        .join(small(listed), ["size", "block", "value"])
-        .withColumn("bits", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
-        .where(F.col("bits") <= settings.radius)
+    weight = lambda hits: summed(F.array_distinct(F.transform(hits, lambda x: F.struct(x["h"], x["weight"]))))
+    able = hits.where(weight(F.col("hits")) >= (settings.similarity - 1e-9) * F.col("whole"))
+    # A window that starts nowhere else can be moved on to its first shared shingle without losing any.
+    starts = F.flatten(F.transform("hits", lambda x: F.concat(F.array(x["p"]), F.transform(x["qs"], lambda q: x["p"] - q))))
+    clipped = F.transform(starts, lambda s: F.greatest(F.lit(0), F.least(s, F.col("doc_words") - F.col("size"))))
+    inside = F.filter("hits", lambda x: (x["p"] >= F.col("s")) & (x["p"] < F.col("s") + F.greatest(F.col("size") - SIZE + 1, F.lit(1))))
+    best = F.max(F.struct("similarity", (-F.col("s")).alias("first"), "size", "row", "item"))
+    found = saved(
+        able.select("*", F.explode(F.array_distinct(clipped)).alias("s"))
+        .withColumn("similarity", F.round(weight(inside) / F.col("whole"), 12)).where(F.col("similarity") >= settings.similarity)
+        .join(small(items.select("item", "item_id")), "item")
+        .groupBy("doc_id", "item_id").agg(best.alias("b"))
+        .select("doc_id", "item_id", (-F.col("b.first")).alias("s"), "b.size", "b.similarity", "b.row", "b.item")
     )
-    add = lambda a, x: a + x["weight"]
-    share = F.aggregate(F.filter("t", lambda x: F.array_contains(F.col("sh"), x["h"])), F.lit(0.0), add) / F.aggregate("t", F.lit(0.0), add)
-    best = F.max(F.struct("similarity", (-F.col("s")).alias("first"), "size", (-F.col("bits")).alias("close")))
+    prints = items.select("item", simhash(F.col("sh")).alias("item_fp"))
+    windows = with_shingles(base.join(small(found), ["doc_id", "row"])).withColumn("fp", simhash(window(F.col("sh"), F.col("s"), F.col("size"))))
     return (
-        pairs.join(small(prints.select("item_id", "t")), "item_id")
-        .withColumn("similarity", share).where(F.col("similarity") >= settings.similarity)
-        .groupBy("doc_id", "item_id").agg(best.alias("b"))
-        .select("doc_id", "item_id", (-F.col("b.first")).cast("long").alias("start_word"), F.col("b.size").cast("long").alias("n_words"), (-F.col("b.close")).cast("long").alias("bits"), F.col("b.similarity").alias("similarity"))
+        windows.join(small(prints), "item").select(
+            "doc_id", "item_id", F.col("s").cast("long").alias("start_word"), F.col("size").cast("long").alias("n_words"),
+            F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).cast("long").alias("bits"), "similarity",
+        ).dropDuplicates(["doc_id", "item_id"])  # of repeated rows one
     )

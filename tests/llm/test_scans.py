@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -76,3 +77,37 @@ def test_contamination(spark):
     assert all(r["bits"] <= Blocks().radius and r["similarity"] >= 0.8 for r in out)
     assert contamination(docs, benchmark, Blocks(max_broadcast=0)).count() == len(out)
     assert contamination(docs.limit(0), benchmark).count() == 0 and contamination(docs, benchmark.limit(0)).count() == 0
+
+
+def weighted(items, texts):
+    """(doc, item) -> similarity of the best of all windows, without SimHash."""
+    held = [set(shingles(t.split())) for t in items]
+    weight = {x: math.log1p(len(items) / sum(x in other for other in held)) for own in held for x in own}
+    found = {}
+    for i, t in enumerate(texts):
+        own = shingles(t.split())
+        for j, item in enumerate(items):
+            size = len(item.split()) - 4
+            whole = sum(map(weight.get, held[j]))
+            best = max(sum(map(weight.get, set(own[a : a + size]) & held[j])) / whole for a in range(max(1, len(own))))
+            if best >= 0.8 - 1e-9:
+                found[i, j] = best
+    return found
+
+
+def test_contamination_without_a_radius(spark):
+    """Items with a common prompt in documents without it, and edited, torn and borderline passages."""
+    prompt = prose(16)
+    items = [prompt + " " + prose(RNG.randint(18, 28)) for _ in range(120)] + [prose(RNG.randint(20, 60)) for _ in range(30)]
+    texts = []
+    for item in items:
+        words = item.removeprefix(prompt).split()
+        texts.append(prose(30) + " " + " ".join(words) + " " + prose(30))
+        cut = RNG.randint(8, len(words) - 8)
+        texts.append(prose(9) + " " + " ".join(words[:cut]) + " " + prose(RNG.randint(1, 3)) + " " + " ".join(words[cut:]) + " " + prose(9))
+        texts.append(prose(9) + " " + " ".join(words[RNG.randint(0, 10):]) + " " + prose(40))
+    wanted = weighted(items, texts)
+    out = contamination(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in out}
+    assert set(got) == set(wanted) and all(abs(got[k] - wanted[k]) < 1e-9 for k in got)
+    assert any(r["bits"] > Blocks().radius for r in out)
