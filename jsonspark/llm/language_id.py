@@ -8,8 +8,8 @@ words, and forward-backward gives every word's posterior.  A document's language
 is the one with the largest sum of posteriors; its score is that share.
 
 The model is fitted on the driver, on a bounded sample: ``docs_each`` training
-documents of each of the ``max_languages`` most frequent languages, those with
-the smallest hashes, whole texts.  Prediction is one pass without a shuffle.
+documents of each language, those with the smallest hashes, whole texts; the
+weights are about a quarter of a MB a language.  Prediction is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -32,7 +32,6 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class Settings:
     docs_each: int = 150  #: training documents of a language
-    max_languages: int = 64
     table: int = 1 << 15  #: cells that n-grams are hashed to
     lexicon: int = 1000  #: frequent words of a language
     rounds: int = 25  #: of gradient ascent
@@ -52,10 +51,10 @@ def words_of(text: str | None) -> list[str]:
 class Model:
     """Weights, lexicons and transitions; small enough to be sent with the task."""
 
-    def __init__(self, languages: list[str], settings: Settings, lexicon: dict[str, int]):
+    def __init__(self, languages: list[str], settings: Settings, lexicon: dict[str, tuple[int, ...]]):
         self.languages, self.table, self.lexicon = languages, settings.table, lexicon
         k = len(languages)
-        self.weights = np.zeros((settings.table + (1 << k if k <= 8 else settings.table), k))
+        self.weights = np.zeros((settings.table + k + 1, k))  # n-grams, lexicons, "in no lexicon"
         self.moves = np.zeros((k, k))
 
     def features(self, types: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -75,9 +74,9 @@ class Model:
             mixed = rolled[ok]
             cells.append(((mixed ^ (mixed >> np.uint64(31))) % np.uint64(self.table)).astype(np.int64))
             owner.append(word[ok])
-        known = np.array([self.lexicon.get(w, 0) for w in types], np.int64)
-        cells.append(self.table + known % (len(self.weights) - self.table))
-        owner.append(np.arange(len(types)))
+        known = [self.lexicon.get(w, (len(self.languages),)) for w in types]
+        cells.append(self.table + np.array([i for own in known for i in own], np.int64))
+        owner.append(np.repeat(np.arange(len(types)), [len(own) for own in known]))
         cells, owner = np.concatenate(cells), np.concatenate(owner)
         order = np.argsort(owner, kind="stable")
         return cells[order], np.searchsorted(owner[order], np.arange(len(types)))
@@ -140,10 +139,10 @@ def fit(samples: list[tuple[str, str]], settings: Settings = Settings()) -> Mode
     split = [(w, lang) for w, lang in split if w]
     for words, lang in split:
         counts[lang].update(words)
-    lexicon: dict[str, int] = {}
+    lexicon: dict[str, tuple[int, ...]] = {}
     for i, lang in enumerate(languages):
         for w, _ in sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))[: settings.lexicon]:
-            lexicon[w] = lexicon.get(w, 0) | 1 << i
+            lexicon[w] = (*lexicon.get(w, ()), i)
     model = Model(languages, settings, lexicon)
     if len(languages) < 2 or not split:
         return model
@@ -182,14 +181,13 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     able = docs.where(F.expr(settings.train)).where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         "text", F.col("lang").cast("string").alias("lang"), F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("h")
     )
-    common = able.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.max_languages).collect()
+    common = able.groupBy("lang").count().collect()
     if not common:
         return Model([], settings, {})
     # A bound on the hash that about twice as many pass as are needed; then the smallest of them.
-    near = F.lit(False)
-    for r in common:
-        near = near | ((F.col("lang") == r["lang"]) & (F.col("h") < int(min(1.0, (2 * settings.docs_each + 50) / r["count"]) * (1 << 30))))
-    rows = sorted(able.where(near).collect(), key=lambda r: (r["h"], r["lang"], r["text"]))
+    bounds = [(r["lang"], int(min(1.0, (2 * settings.docs_each + 50) / r["count"]) * (1 << 30))) for r in common]
+    near = able.join(F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound long")), "lang").where("h < bound")
+    rows = sorted(near.select("text", "lang", "h").collect(), key=lambda r: (r["h"], r["lang"], r["text"]))
     chosen, taken = [], Counter()
     last = None
     for r in rows:

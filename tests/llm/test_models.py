@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 
-from jsonspark.llm.language_id import Settings, fit, forward_backward, language_id, predict, words_of
+from jsonspark.llm.language_id import Settings, fit, forward_backward, language_id, predict, train, words_of
 from jsonspark.llm.lm_score import Settings as LmSettings
 from jsonspark.llm.lm_score import lm_scores
 
@@ -99,3 +99,19 @@ def test_lm_is_a_distribution(spark):
     assert len(out) == len(train) + len(asks) and all(math.isfinite(s) for s in out.values())
     # A longer text is less likely, and a word that follows often is likelier than a new one.
     assert out[1000] > out[1004] and out[1005] > out[1009] and out[2000] > out[1004]
+
+
+def test_many_languages(spark):
+    """Every label is learnt and has a lexicon feature of its own, however many there are."""
+    for k in (20, 70):
+        names = [f"l{i:02d}" for i in range(k)]
+        own = {lang: ["".join(RNG.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(12)] for lang in names}
+        rows = [(i, " ".join(RNG.choice(own[names[i % k]]) for _ in range(30)), names[i % k]) for i in range(12 * k)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        model = train(docs, Settings(docs_each=6, train="true"))
+        assert model.languages == names
+        word = {lang: next(w for w in own[lang] if model.lexicon.get(w) == (i,)) for i, lang in enumerate(names)}
+        cells = [set(model.features([word[lang]])[0][-1:].tolist()) for lang in names]
+        assert cells == [{model.table + i} for i in range(k)] and all(model.weights[model.table + i, i] > 0 for i in range(k))
+        out = predict(docs, model).collect()
+        assert sum(r["lang_pred"] == names[r["doc_id"] % k] for r in out) / len(out) > 0.97
