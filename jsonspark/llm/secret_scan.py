@@ -3,8 +3,8 @@
 The base rules find assignments, access keys and hex strings.  The model adds
 long tokens that look random: two character Markov models, one of random
 strings (the values the base rules found: the labelled positives) and one of
-ordinary identifiers (long tokens of texts without any base finding, but for the
-tokens that the model would have to judge: the negatives), are compared by their log-likelihood ratio.
+ordinary identifiers (long tokens of texts without any base finding, but for those
+of letters and digits: the negatives), are compared by their log-likelihood ratio.
 
 Offsets come from ``split`` and ``regexp_extract_all`` of the same pattern:
 what lies between the matches and the matches themselves, whose lengths add up.
@@ -73,14 +73,14 @@ def base_spans(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def _judged(value: Column) -> Column:
-    """Whether the model decides about a token: it has a letter and a digit."""
+def _mixed(value: Column) -> Column:
+    """Whether a long token is likely a secret at first sight, so no negative: it has a letter and a digit."""
     return value.rlike("[0-9]") & value.rlike("[A-Za-z]")
 
 
 def _ordinary(text: Column, settings: Settings) -> Column:
     found = F.regexp_extract_all(text, F.lit("[A-Za-z0-9+/_=-]{%d,}" % settings.min_training_token), F.lit(0))
-    return F.filter(found, lambda v: (F.length(v) < settings.min_token) | ~_judged(v))
+    return F.filter(found, lambda v: (F.length(v) < settings.min_token) | ~_mixed(v))
 
 
 def labelled_samples(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -140,8 +140,7 @@ def secret_scan(docs: DataFrame, settings: Settings = Settings(), table: list[fl
     """doc_id, text, ``base`` and ``found``: array<struct<s, k, e, v>> by start and then kind (an index of KINDS).
 
     Base spans stay as they are; the model adds tokens that overlap none of
-    them, of ``min_token`` characters and more, with a letter and a digit, whose
-    ratio reaches ``min_ratio``.  A null text is empty; repeated rows are scanned
+    them, of ``min_token`` characters and more, whose ratio reaches ``min_ratio``.  A null text is empty; repeated rows are scanned
     alike; only the columns named in ``carry`` come along (none may be called
     base, more or found).  Without a table it learns from ``docs``.
     """
@@ -150,7 +149,7 @@ def secret_scan(docs: DataFrame, settings: Settings = Settings(), table: list[fl
     token = r"[A-Za-z0-9+/_=-]{%d,}" % settings.min_token
     df = base_spans(docs, carry).withColumn("more", _spans(F.col("text"), token, 3))
     random = (
-        F.filter("more", lambda m: _judged(m["v"]) & ~F.exists("base", lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"])) & (ratio(m["v"], table) >= settings.min_ratio))
+        F.filter("more", lambda m: ~F.exists("base", lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"])) & (ratio(m["v"], table) >= settings.min_ratio))
     )
     return df.select(*[c for c in df.columns if c != "more"], F.array_sort(F.concat("base", random)).alias("found"))
 

@@ -2,7 +2,7 @@ import random
 import re
 import string
 
-from jsonspark.llm.secret_scan import ratio, redacted, secret_scan, span_text, train
+from jsonspark.llm.secret_scan import labelled_samples, ratio, redacted, secret_scan, span_text, train
 from pyspark.sql import functions as F
 
 PATTERNS = [
@@ -58,3 +58,14 @@ def test_empty_and_repeated(spark):
     docs = spark.createDataFrame([(1, "token=abcdef"), (1, "token=abcdef")], "doc_id long, text string")
     assert secret_scan(docs.limit(0)).count() == 0
     assert [span_text(F.col("found")) is not None for _ in secret_scan(docs).collect()] == [True, True]
+
+
+def test_letters_alone_are_judged(spark):
+    letters = ["".join(RNG.choice(string.ascii_letters) for _ in range(40)) for _ in range(5)]
+    known = [f"token={r} and" for r in RANDOM] + [f"the {w} of {w}" for w in WORDS] * 40
+    table = train(labelled_samples(spark.createDataFrame(list(enumerate(known)), "doc_id long, text string")))
+    texts = [f"the {w} of {w}" for w in WORDS] + [f"look at {r} there" for r in letters]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["s"] for r in secret_scan(docs, table=table).select("doc_id", span_text(F.col("found")).alias("s")).collect()}
+    assert all(out[i] == "markov:8:48" for i, t in enumerate(texts) if t.startswith("look"))
+    assert all(out[i] == "" for i, t in enumerate(texts) if t.startswith("the"))
