@@ -42,8 +42,8 @@ def simhash(sh: Column) -> Column:
 
 def items_of(benchmark: DataFrame) -> DataFrame:
     """item (a key), item_id, n_words and sh of the items that have a word."""
-    named = benchmark.where("item_id is not null").select("item_id", F.col("text").cast("string").alias("text")).dropDuplicates(["item_id"])
-    return with_shingles(named.withColumn("item", F.xxhash64("item_id", "text"))).where("n_words > 0").select("item", "item_id", "n_words", "sh")
+    named = benchmark.select("item_id", F.col("text").cast("string").alias("text")).distinct()
+    return with_shingles(named.withColumn("item", F.xxhash64(F.col("item_id").isNull(), "item_id", "text"))).where("n_words > 0").select("item", "item_id", "n_words", "sh")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -52,9 +52,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, settings: Settings = Se
     The row is of the best window, the first on a tie.  Words are runs of letters
     and digits in lower case, numbered from 0 over the whole text.  An item of
     fewer than five words is found only in a document of exactly those words;
-    null and empty texts and items, and documents or items with a null id, are
-    never found.  Repeated rows are found once (of items with one id and other
-    texts, one is taken); other columns are ignored.
+    null and empty texts and items, and documents with a null id, are never found.
+    Repeated rows are found once; of items that share an id (or have none) each
+    text counts, and the best is told.  Other columns are ignored.
     """
     items = items_of(benchmark)
     total = items.count()

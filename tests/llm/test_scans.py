@@ -111,3 +111,10 @@ def test_contamination_without_a_radius(spark):
     got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in out}
     assert set(got) == set(wanted) and all(abs(got[k] - wanted[k]) < 1e-9 for k in got)
     assert any(r["bits"] > Blocks().radius for r in out)
+
+
+def test_items_that_share_an_id(spark):
+    items = [(1, prose(30)), (1, prose(25)), (1, prose(40)), (None, prose(20)), (2, prose(35))]
+    docs = spark.createDataFrame([(i, prose(9) + " " + t + " " + prose(9)) for i, (_, t) in enumerate(items)], "doc_id long, text string")
+    out = contamination(docs, spark.createDataFrame(items * 2, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["n_words"]) for r in out} == {(0, 1, 30), (1, 1, 25), (2, 1, 40), (3, None, 20), (4, 2, 35)} and len(out) == 5
