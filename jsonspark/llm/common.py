@@ -61,6 +61,15 @@ def group_count(total_bytes: int, each: int, least: int = 1) -> int:
     return max(least, -(-total_bytes // each))
 
 
+def grown(total_bytes: int, least: int, most: int, known: int = 50_000_000_000) -> int:
+    """A size that is ``least`` up to ``known`` bytes of text and then grows with their root, up to ``most``.
+
+    Groups and buckets both grow so: what a group sends to a bucket stays about
+    as large, and the number of such cells grows no faster than the input.
+    """
+    return int(min(most, least * max(1.0, (total_bytes / known) ** 0.5)))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

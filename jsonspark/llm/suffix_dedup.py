@@ -3,27 +3,30 @@
 A byte goes if it lies in a string of ``LENGTH`` bytes that also starts in a
 document with a smaller id.  Three steps find these strings exactly:
 
-1. Anchors.  Of the hashes of the ``GRAM``-byte substrings of every window of
-   LENGTH bytes the smallest is an anchor (winnowing), so equal strings of LENGTH
-   bytes have the same anchor at the same place.  Groups of texts of a few MB send
-   their distinct anchors to buckets and learn which ones other texts have too.
-2. Contexts.  An anchor that several texts have gets its context, all bytes that
-   a string of LENGTH bytes around it can reach.  A group sends each distinct
-   context once, with its smallest document.  Where an anchor has several
-   distinct contexts, a suffix array of them (see ``suffix_array``) brings equal
-   strings together; the smallest document of each run of equal strings decides.
-   The answer is a mask of the strings of each context that a smaller document has.
+1. Anchors.  Of the hashes of the ``GRAM``-byte substrings of a string of LENGTH
+   bytes the smallest, the leftmost of equal ones, is its anchor (winnowing), so
+   equal strings have the same anchor at the same place.  Groups of neighbouring
+   texts of a few MB send their distinct anchors to buckets and learn which ones
+   other texts have too.
+2. Contexts.  An anchor that several texts have gets its context, the bytes of all
+   strings whose anchor it is.  A group sends each distinct context once, with its
+   smallest document.  The distinct contexts of an anchor make one text, whose
+   suffix array (by Lyndon grouping, see ``suffix_array``) brings equal strings
+   together; the smallest document of each run of equal strings decides.  The
+   answer is a mask of the strings of each context that a smaller document has.
 3. Removal.  Each group covers the bytes of the strings so found.
 
 An anchor with more than ``max_contexts`` occurrences (a line that is in a third
 of all texts, say) is not gathered: its strings are sent one by one, each to the
-bucket of its own hash, one a group, and the smallest document comes back.  What
-is shuffled is the compressed text (once for each step), about 7 % of its bytes
-as anchors of 6 bytes, and the contexts.  Nothing is collected or broadcast.
+bucket of its own hash (128 bits), one a group, and the smallest document comes
+back.  The compressed texts are checkpointed once and shuffled once; besides,
+about 7 % of their bytes are shuffled as anchors of 6 bytes, and the contexts.
+Nothing is collected or broadcast.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,9 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import group_count, saved, text_bytes
-from .packs import pack, unpacked
-from .suffix_array import suffix_array
+from .common import group_count, grown, saved, text_bytes
+from .packs import each_pack, pack, unpacked
+from .suffix_array import suffix_arrays
 
 LENGTH, GRAM = 50, 25
 REACH = LENGTH - GRAM  # bytes of a context on either side of the anchor
@@ -49,9 +52,10 @@ NEVER = np.uint64(2**64 - 1)
 @dataclass(frozen=True)
 class Settings:
     group_bytes: int = 4_000_000  #: text of a group
-    bucket_anchors: int = 300_000  #: of a bucket, about
+    most_bytes: int = 64_000_000  #: of a group of a large input
+    bucket_anchors: int = 1_500_000  #: of a bucket, about
+    most_anchors: int = 24_000_000  #: of a bucket of a large input
     max_contexts: int = 5_000  #: occurrences of an anchor beyond which its strings are sent one by one
-    array_symbols: int = 200_000  #: of a suffix array, about; an anchor's contexts stay together
 
 
 def _slid(values: np.ndarray, count: int, join, empty) -> np.ndarray:
@@ -108,6 +112,26 @@ def anchors(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, grams[at]
 
 
+def strings_of(at: np.ndarray, hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of the strings whose smallest gram is each anchor, the leftmost of equal ones; none if last < first.
+
+    A smaller gram of a string is one of its anchors, so anchors alone are compared.
+    """
+    first, last = np.maximum(at - REACH, begins), np.minimum(at, ends - LENGTH)
+    for by in range(1, WINDOW):
+        near = np.flatnonzero(at[by:] - at[:-by] < WINDOW)
+        near = near[begins[near] == begins[near + by]]
+        if not len(near):
+            break
+        far = near + by
+        less = hashes[far] < hashes[near]
+        a, b = near[less], far[less]
+        last[a] = np.minimum(last[a], at[b] - WINDOW)
+        a, b = near[~less], far[~less]
+        first[b] = np.maximum(first[b], at[a] + 1)
+    return first, last
+
+
 class _Group:
     """The bytes of a group's texts and their anchors."""
 
@@ -132,9 +156,10 @@ class _Group:
         self.at = np.concatenate(places) if places else np.empty(0, np.int64)
         self.hash = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         self.text = np.searchsorted(self.ends, self.at, "right")
-        if not known.all():  # a text without an id neither loses bytes nor takes them
-            on = known[self.text]
-            self.at, self.hash, self.text = self.at[on], self.hash[on], self.text[on]
+        self.first, self.last = strings_of(self.at, self.hash, self.begins[self.text], self.ends[self.text])
+        on = (self.first <= self.last) & known[self.text]  # a text without an id neither loses bytes nor takes them
+        self.at, self.hash, self.text, self.first, self.last = (x[on] for x in (self.at, self.hash, self.text, self.first, self.last))
+        self.hash = (self.hash ^ self.hash >> np.uint64(29)) * BASE  # the smallest of many are small: deal them evenly
         self.keys, self.which, self.times = np.unique(self.hash, return_inverse=True, return_counts=True)
 
     def several(self) -> np.ndarray:
@@ -149,8 +174,7 @@ class _Group:
         code = codes[self.which]
         on = np.flatnonzero(code > 0)
         at, text = self.at[on], self.text[on]
-        left = np.minimum(at - self.begins[text], REACH)
-        right = np.minimum(self.ends[text] - at, GRAM + REACH)
+        left, right = at - self.first[on], self.last[on] + LENGTH - at
         blob = self.raw.tobytes()
         digest = xxhash.xxh3_64_intdigest
         own = np.fromiter((digest(blob[a:b]) for a, b in zip((at - left).tolist(), (at + right).tolist())), np.uint64, len(on))
@@ -170,10 +194,10 @@ class _Group:
         starts = [np.arange(a - lt, a + r - LENGTH + 1) for a, lt, r in zip(at[many].tolist(), left[many].tolist(), right[many].tolist())]
         sizes = np.array([len(s) for s in starts], np.int64)
         starts = np.concatenate(starts) if starts else np.empty(0, np.int64)
-        keys = np.fromiter((digest(blob[s : s + LENGTH]) for s in starts.tolist()), np.uint64, len(starts))
+        keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(blob[s : s + LENGTH]) for s in starts.tolist()), np.uint64).reshape(-1, 2)
         docs = np.repeat(self.doc[text[many]], sizes)
-        order = np.lexsort((docs, keys))
-        new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]]) if len(order) else np.empty(0, bool)
+        order = np.lexsort((docs, keys[:, 1], keys[:, 0]))
+        new = np.append(True, (keys[order][1:] != keys[order][:-1]).any(axis=1)) if len(order) else np.empty(0, bool)
         self.strings = keys[order][new], docs[order][new]
         self.string_at, self.string_doc, self.string_of = starts[order], docs[order], np.cumsum(new) - 1
 
@@ -193,26 +217,30 @@ class _Group:
         """Bytes that go: ``masks`` of the strings of each distinct context, ``bits`` of the crowded anchors' strings."""
         _, at, left, right = self.occurs
         text = self.text[self.occurs[0]]
-        change = np.zeros(len(self.raw) + 1, np.int64)
+        starts, stops = [], []
         if len(self.order):
             o = self.order
             later = self.doc[text[o]] > self.entry[2][self.entry_of]  # not the context's smallest document
-            mask = np.where(later, (1 << WINDOW) - 1, masks[self.entry_of])
-            for k in range(WINDOW):
-                fits = (mask >> k & 1).astype(bool) & (k + LENGTH <= left[o] + right[o])
-                start = at[o][fits] - left[o][fits] + k
-                change += np.bincount(start, minlength=len(change))
-                change -= np.bincount(start + LENGTH, minlength=len(change))
+            mask = np.where(later, (1 << WINDOW) - 1, masks[self.entry_of]) & ((1 << (left + right - LENGTH + 1)[o]) - 1)
+            begin = at[o] - left[o]
+            for runs, out, more in ((mask & ~(mask << 1), starts, 0), (mask & ~(mask >> 1), stops, LENGTH)):
+                for k in range(WINDOW):
+                    out.append(begin[np.flatnonzero(runs >> k & 1)] + k + more)
         if len(self.string_at):
             gone = (self.string_doc > self.strings[1][self.string_of]) | bits[self.string_of].astype(bool)
-            change += np.bincount(self.string_at[gone], minlength=len(change))
-            change -= np.bincount(self.string_at[gone] + LENGTH, minlength=len(change))
+            starts.append(self.string_at[gone])
+            stops.append(self.string_at[gone] + LENGTH)
+        if not starts:
+            return np.zeros(len(self.raw), bool)
+        change = np.bincount(np.concatenate(starts), minlength=len(self.raw) + 1) - np.bincount(np.concatenate(stops), minlength=len(self.raw) + 1)
         return np.cumsum(change[:-1]) > 0
 
 
-def _cuts(keys: np.ndarray, bits: int) -> np.ndarray:
+def _cells(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted keys, for the buckets that have any."""
     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-    return np.searchsorted(bucket, np.arange((1 << bits) + 1))
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return zip(bucket[first].tolist(), first.tolist(), [*first[1:].tolist(), len(keys)])
 
 
 def _squeeze(array: np.ndarray) -> bytes:
@@ -247,12 +275,11 @@ TOLD = "g long, bucket long, kind int, answer binary"
 
 
 def _ask_anchors(bits: int):
-    def run(packs: pa.Table) -> pa.Table:
-        group, g = _Group(packs.column("pack").to_pylist()), packs.column("g")[0].as_py()
-        cuts = _cuts(group.keys, bits)
+    def run(g: int, packs: list[bytes]) -> pa.Table:
+        group = _Group(packs)
         short = np.ascontiguousarray((group.keys >> np.uint64(16 - bits)).view(np.uint8).reshape(-1, 8)[:, :6])  # the bucket's bits are known
         note = (np.minimum(group.times, 127) | group.several().astype(np.int64) << 7).astype(np.uint8)
-        return _table([(b, g, 0, short[x:y].tobytes(), _squeeze(note[x:y])) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x], ASKED)
+        return _table([(b, g, 0, short[x:y].tobytes(), _squeeze(note[x:y])) for b, x, y in _cells(group.keys, bits)], ASKED)
 
     return run
 
@@ -294,25 +321,23 @@ def _ask_contexts(bits: int):
         h, pick, doc = group.entry
         _, _, left, right = group.occurs
         spans = left[pick] | right[pick] << 8
-        context, cuts = group.context_rows(), _cuts(h, bits)
-        rows = [(b, g, 1, _squeeze(context[x:y]), _noted(h[x:y], doc[x:y], spans[x:y])) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
+        context = group.context_rows()
+        rows = [(b, g, 1, _squeeze(context[x:y]), _noted(h[x:y], doc[x:y], spans[x:y])) for b, x, y in _cells(h, bits)]
         keys, docs = group.strings
-        cuts = _cuts(keys, bits)
-        rows += [(b, g, 2, keys[x:y].tobytes(), docs[x:y].tobytes()) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
+        rows += [(b, g, 2, keys[x:y].tobytes(), docs[x:y].tobytes()) for b, x, y in _cells(keys[:, 0], bits)]
         return _table(rows, ASKED)
 
     return run
 
 
-def smallest_documents(rows: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For distinct contexts, a (contexts, WINDOW) array: the smallest document with each string, by a suffix array.
+def smallest_documents(rows: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """For distinct contexts, a (contexts, WINDOW) array: the smallest document with each string, by suffix arrays.
 
-    The contexts of one anchor lie side by side in ``rows``.  The anchor itself,
-    the same in all of them, is one symbol of the text that is sorted, named
-    after its bytes; so a string is WINDOW symbols.
+    The contexts of one anchor lie side by side in ``rows`` and make one text;
+    ``last`` marks where it ends.  The anchor, the same in all of them, is one
+    symbol there, so a string is WINDOW symbols.
     """
-    reach = right - GRAM
-    size = left + 1 + reach
+    size = left + 1 + right - GRAM
     ends = np.cumsum(size + 1)  # a zero after each context, below every other symbol
     begins = ends - size - 1
     flat = np.zeros(ends[-1], np.int64)
@@ -321,53 +346,55 @@ def smallest_documents(rows: np.ndarray, left: np.ndarray, right: np.ndarray, do
     beside = inner - left[owner]  # the anchor is at 0
     source = REACH + np.where(beside > 0, beside + GRAM - 1, beside)
     middle = rows[:, REACH : REACH + GRAM]
-    named = np.cumsum(np.concatenate([[False], (middle[1:] != middle[:-1]).any(axis=1)]))
-    flat[begins[owner] + inner] = np.where(beside == 0, 257 + named[owner], rows[owner, source].astype(np.int64) + 1)
+    name = np.zeros(len(rows), np.int64)
+    if (~last[:-1] & (middle[1:] != middle[:-1]).any(axis=1)).any():  # grams of one hash that differ
+        name = np.unique(middle, axis=0, return_inverse=True)[1].ravel()
+    flat[begins[owner] + inner] = np.where(beside == 0, 257 + name[owner], rows[owner, source].astype(np.int64) + 1)
     string = np.full(len(flat), -1)
-    starts = np.maximum(size - WINDOW + 1, 0)
+    starts = size - WINDOW + 1
     inner = np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts)
     who = np.repeat(np.arange(len(rows)), starts)
     string[np.repeat(begins, starts) + inner] = np.arange(len(who))
-    array = np.array(suffix_array(flat), np.int64)
+    array = suffix_arrays(flat, ends[last])
     array = array[string[array] >= 0]
+    found = string[array]
+    text = np.cumsum(last)[who[found]] - last[who[found]]
     span, small = np.arange(WINDOW), flat.astype(np.int32)
     new = np.ones(len(array), bool)
     for k in range(1, len(array), 20_000):
         a, b = array[k - 1 : k + 19_999], array[k : k + 20_000]
         new[k : k + 20_000] = (small[a[: len(b), None] + span] != small[b[:, None] + span]).any(axis=1)
-    found = string[array]
-    low = np.minimum.reduceat(doc[who[found]], np.flatnonzero(new)) if len(array) else np.empty(0, np.int64)
+    new[1:] |= text[1:] != text[:-1]
+    low = np.minimum.reduceat(doc[who[found]], np.flatnonzero(new))
     out = np.full((len(rows), WINDOW), 2**63 - 1)
     out[who[found], inner[found]] = low[np.cumsum(new) - 1]
     return out
 
 
-def _answer_contexts(array_symbols: int):
-    def run(table: pa.Table) -> pa.Table:
-        rows = list(zip(*[table.column(c).to_pylist() for c in ("g", "bucket", "keys", "more", "kind")]))
-        out = []
-        strings = [r for r in rows if r[4] == 2]
-        if strings:
-            keys = [np.frombuffer(r[2], np.uint64) for r in strings]
-            docs = np.concatenate([np.frombuffer(r[3], np.int64) for r in strings])
-            unique, which = np.unique(np.concatenate(keys), return_inverse=True)
-            low = np.full(len(unique), 2**63 - 1)
-            np.minimum.at(low, which, docs)
-            cuts = np.cumsum([len(k) for k in keys])[:-1]
-            out += [(r[0], r[1], 2, _squeeze(part)) for r, part in zip(strings, np.split((low[which] < docs).astype(np.uint8), cuts))]
-        asked = [r for r in rows if r[4] == 1]
-        if asked:
-            context = np.concatenate([_loosen(r[2], np.uint8).reshape(-1, WIDTH) for r in asked])
-            parts = [_read_notes(r[3]) for r in asked]
-            cuts = np.cumsum([len(p) for p in parts])[:-1]
-            masks = _masks(context, np.concatenate(parts), array_symbols)
-            out += [(r[0], r[1], 1, _squeeze(part)) for r, part in zip(asked, np.split(masks.astype(np.uint32), cuts))]
-        return _table(out, TOLD)
-
-    return run
-
-
-def _masks(context: np.ndarray, notes: np.ndarray, array_symbols: int) -> np.ndarray:
+def _answer_contexts(table: pa.Table) -> pa.Table:
+    rows = list(zip(*[table.column(c).to_pylist() for c in ("g", "bucket", "keys", "more", "kind")]))
+    out = []
+    strings = [r for r in rows if r[4] == 2]
+    if strings:
+        keys = np.frombuffer(b"".join(r[2] for r in strings), np.uint64).reshape(-1, 2)
+        docs = np.concatenate([np.frombuffer(r[3], np.int64) for r in strings])
+        order = np.lexsort((docs, keys[:, 1], keys[:, 0]))
+        new = np.append(True, (keys[order][1:] != keys[order][:-1]).any(axis=1))
+        smaller = np.empty(len(docs), np.uint8)
+        smaller[order] = docs[order[new]][np.cumsum(new) - 1] < docs[order]
+        cuts = np.cumsum([len(r[3]) // 8 for r in strings])[:-1]
+        out += [(r[0], r[1], 2, _squeeze(part)) for r, part in zip(strings, np.split(smaller, cuts))]
+    asked = [r for r in rows if r[4] == 1]
+    if asked:
+        context = np.concatenate([_loosen(r[2], np.uint8).reshape(-1, WIDTH) for r in asked])
+        parts = [_read_notes(r[3]) for r in asked]
+        cuts = np.cumsum([len(p) for p in parts])[:-1]
+        masks = _masks(context, np.concatenate(parts))
+        out += [(r[0], r[1], 1, _squeeze(part)) for r, part in zip(asked, np.split(masks.astype(np.uint32), cuts))]
+    return _table(out, TOLD)
+
+
+def _masks(context: np.ndarray, notes: np.ndarray) -> np.ndarray:
     h, doc = notes[:, 0], notes[:, 1].astype(np.int64)
     left, right = (notes[:, 2] & np.uint64(255)).astype(np.int64), (notes[:, 2] >> np.uint64(8)).astype(np.int64)
     blob, digest = context.tobytes(), xxhash.xxh3_64_intdigest
@@ -379,24 +406,12 @@ def _masks(context: np.ndarray, notes: np.ndarray, array_symbols: int) -> np.nda
     distinct = np.empty(len(h), np.int64)
     distinct[order] = np.cumsum(new) - 1
     low = np.repeat(doc[first][:, None], WINDOW, axis=1)
-    # Anchors with several contexts, some at a time, whole anchors together.
-    change = np.flatnonzero(np.concatenate([[True], h[first][1:] != h[first][:-1]]))
-    count = np.diff(np.append(change, len(first)))
-    batch: list[np.ndarray] = []
-    pending = 0
-
-    def solve() -> None:
-        at = np.concatenate(batch)
-        low[at] = smallest_documents(context[first[at]], left[first[at]], right[first[at]], doc[first[at]])
-
-    for k in np.flatnonzero(count > 1):
-        batch.append(np.arange(change[k], change[k] + count[k]))
-        pending += int(count[k]) * (2 * REACH + 2)
-        if pending >= array_symbols:
-            solve()
-            batch, pending = [], 0
-    if batch:
-        solve()
+    # Anchors with several contexts.
+    change = np.concatenate([[True], h[first][1:] != h[first][:-1]])
+    last = np.append(change[1:], True)
+    at = np.flatnonzero(~(change & last))
+    if len(at):
+        low[at] = smallest_documents(context[first[at]], left[first[at]], right[first[at]], doc[first[at]], last[at])
     mask = np.zeros(len(h), np.int64)
     for k in range(WINDOW):
         mask |= (low[distinct, k] < doc).astype(np.int64) << k
@@ -409,16 +424,19 @@ def _remove(id_type: pa.DataType):
         masks = [_loosen(a, np.uint32) for _, a in sorted(_answered(told, 1))]
         bits = [_loosen(a, np.uint8) for _, a in sorted(_answered(told, 2))]
         gone = group.covered(np.concatenate(masks).astype(np.int64) if masks else np.empty(0, np.int64), np.concatenate(bits) if bits else np.empty(0, np.uint8))
-        kept, removed, spans = [], [], []
-        for a, b in zip(group.begins.tolist(), group.ends.tolist()):
-            own = gone[a:b]
-            edge = np.flatnonzero(np.diff(own.astype(np.int8), prepend=0, append=0))
-            kept.append(group.raw[a:b][~own].tobytes())
-            removed.append(int(own.sum()))
-            spans.append([{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2])])
-        span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        total = np.concatenate([[0], np.cumsum(gone)])
+        removed = total[group.ends] - total[group.begins]
+        border = np.zeros(len(gone) + 1, bool)
+        border[group.begins] = border[group.ends] = True  # a run ends with its text
+        start = np.flatnonzero(gone & (border[:-1] | ~np.append(False, gone[:-1])))
+        stop = np.flatnonzero(gone & (border[1:] | ~np.append(gone[1:], False))) + 1
+        owner = np.searchsorted(group.ends, start, "right")
+        sums = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+        spans = pa.StructArray.from_arrays([pa.array(x - group.begins[owner], pa.int64()) for x in (start, stop)], names=["start", "end"])
+        size = group.ends - group.begins
+        kept = pa.Array.from_buffers(pa.binary(), len(size), [None, sums(size - removed).buffers()[1], pa.py_buffer(group.raw[~gone].tobytes())])
         return pa.table(
-            [pa.array(group.ids, id_type), pa.array((group.ends - group.begins).tolist(), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span_type), pa.array(kept, pa.binary())],
+            [pa.array(group.ids, id_type), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.ListArray.from_arrays(sums(np.bincount(owner, minlength=len(size))), spans), kept],
             names=["doc_id", "n_bytes", "n_removed", "spans", "kept"],
         )
 
@@ -435,11 +453,13 @@ def suffix_dedup(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     size = text_bytes(docs)
-    bits = max(0, (group_count(size // 13, settings.bucket_anchors) - 1).bit_length())
-    packs = pack(docs.select("doc_id", F.col("text").cast("string").alias("text")), group_count(size, settings.group_bytes))
+    anchors_each = grown(size, settings.bucket_anchors, settings.most_anchors)
+    bits = max(0, (group_count(size // 13, anchors_each) - 1).bit_length())
+    packs = pack(docs.select("doc_id", F.col("text").cast("string").alias("text")), grown(size, settings.group_bytes, settings.most_bytes))
     cogroup = lambda told, f, schema: packs.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(f, schema)
-    shared = saved(packs.groupBy("g").applyInArrow(_ask_anchors(bits), ASKED).groupBy("bucket").applyInArrow(_answer_anchors(settings.max_contexts), TOLD))
-    found = saved(cogroup(shared, _ask_contexts(bits), ASKED).groupBy("bucket").applyInArrow(_answer_contexts(settings.array_symbols), TOLD))
+    shared = saved(packs.mapInArrow(each_pack(_ask_anchors(bits)), ASKED).groupBy("bucket").applyInArrow(_answer_anchors(settings.max_contexts), TOLD))
+    # One plan from here on: both cogroups read one shuffle of the packs.
+    found = cogroup(shared, _ask_contexts(bits), ASKED).groupBy("bucket").applyInArrow(_answer_contexts, TOLD)
     id_type = docs.schema["doc_id"].dataType
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType())])

@@ -1,9 +1,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
-from jsonspark.llm.suffix_array import suffix_array
+from jsonspark.llm import suffix_array as module
+from jsonspark.llm.suffix_array import suffix_array, suffix_arrays
 from jsonspark.llm.suffix_dedup import LENGTH, Settings, suffix_dedup
 
 RNG = random.Random(2)
@@ -21,6 +23,27 @@ def test_random_suffix_arrays():
         assert suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
 
 
+@pytest.mark.parametrize("one_by_one", [0, 3])
+def test_suffix_arrays_in_step(one_by_one, monkeypatch):
+    """Many texts in step, with few and many symbols, repeated blocks and empty texts, against sorting."""
+    monkeypatch.setattr(module, "STEP_TEXTS", one_by_one)
+    for symbols in (10, 400_000):
+        monkeypatch.setattr(module, "STEP_SYMBOLS", symbols)
+        for _ in range(150):
+            texts = []
+            for _ in range(RNG.randint(1, 12)):
+                most = RNG.choice([0, 1, 2, 25])
+                texts.append([RNG.randint(0, most) for _ in range(RNG.randint(0, 50))])
+                if RNG.random() < 0.2:
+                    texts.append(([0] + [1] * RNG.randint(0, 5)) * RNG.randint(0, 9))
+            flat = np.array([x for t in texts for x in t], np.int64)
+            want, at = [], 0
+            for t in texts:
+                want += [at + i for i in sorted(range(len(t)), key=lambda i: t[i:])]
+                at += len(t)
+            assert suffix_arrays(flat, np.cumsum([len(t) for t in texts])).tolist() == want
+
+
 def brute(rows):
     """(n_bytes, n_removed, spans, kept) of each (id, text) row."""
     seen, out = {}, []
@@ -62,7 +85,7 @@ def corpus():
     return rows + rows[10:14] + [(rows[20][0], rows[21][1]), (None, rows[22][1]), (None, rows[22][1])]
 
 
-@pytest.mark.parametrize("settings", [Settings(), Settings(group_bytes=2000, bucket_anchors=100, max_contexts=4, array_symbols=500), Settings(group_bytes=3000, max_contexts=1)])
+@pytest.mark.parametrize("settings", [Settings(), Settings(group_bytes=2000, bucket_anchors=100, max_contexts=4), Settings(group_bytes=3000, max_contexts=1)])
 def test_removal(spark, settings):
     rows = corpus()
     docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, kept string")
@@ -80,8 +103,6 @@ def test_empty(spark):
 
 def test_tiny_chunks(spark):
     """A chunk of 1 to 30 bytes in all has no anchors; neither has a tiny text after one that fills a chunk."""
-    import numpy as np
-
     from jsonspark.llm.suffix_dedup import anchors
 
     for n in range(1, 31):
