@@ -6,9 +6,11 @@ from collections import Counter
 
 import numpy as np
 
+from jsonspark.llm.common import group_count, grown, text_bytes
 from jsonspark.llm.language_id import Settings, fit, forward_backward, language_id, predict, train, words_of
 from jsonspark.llm.lm_score import Settings as LmSettings
-from jsonspark.llm.lm_score import lm_scores
+from jsonspark.llm.lm_score import ASKED, _asks, lm_scores
+from jsonspark.llm.packs import each_pack, pack
 
 RNG = random.Random(8)
 SYLLABLES = {"aa": "ba ko lu mi ta re".split(), "bb": "sch zug wer ich tzk ung".split(), "cc": "éau ção ñor été ção lhe".split()}
@@ -89,16 +91,70 @@ def test_lm(spark):
     assert all(r["train_tokens"] == 0 for r in lm_scores(docs, LmSettings(train="false")).collect())
 
 
-def test_lm_is_a_distribution(spark):
-    """Given a context, the probabilities of all known words and one unknown one add up to one."""
-    words = ["a", "b", "c", "d"]
-    train = [(i, " ".join(RNG.choice(words) for _ in range(30))) for i in range(40)]
-    asks = [(1000 + k, f"{c} {w}") for k, (c, w) in enumerate((c, w) for c in ["a", "zz"] for w in [*words, "new"])] + [(2000, "a"), (2001, "zz")]
-    docs = spark.createDataFrame(train + asks, "doc_id long, text string")
-    out = {r["doc_id"]: r["score"] for r in lm_scores(docs, LmSettings(train="doc_id < 1000")).collect()}
-    assert len(out) == len(train) + len(asks) and all(math.isfinite(s) for s in out.values())
-    # A longer text is less likely, and a word that follows often is likelier than a new one.
-    assert out[1000] > out[1004] and out[1005] > out[1009] and out[2000] > out[1004]
+def brute_scores(rows, learnt):
+    """(score by id, probability(word or None, context or None)) of a plain model: dictionaries, loops, the same levels of the histogram."""
+    docs = [(i, [*(t or "").lower().split(), None]) for i, t in rows]
+    uni, bi = Counter(), Counter()
+    for i, own in docs:
+        if learnt(i):
+            uni.update(own)
+            bi.update(zip([None, *own], own))  # an end stands before the first word
+    n, v = sum(uni.values()), len(uni)
+    level = lambda p: min(max(121 + round(4 * math.log2(p)), 1), 121) if p else 0
+    value = lambda k: 2 ** ((k - 121) / 4) if k else 0.0
+    bucket = lambda c: min(int(math.log2(c + 1)), 15)
+    cells = Counter()
+    for i, own in docs:
+        for a, b in zip([None, *own], own) if learnt(i) else ():
+            c = uni[a] - 1
+            cells[bucket(c), level((bi[a, b] - 1) / c if c else 0), level((uni[b] - 1) / (n - 1))] += 1
+    weights = {k: [1 / 3] * 3 for k in range(16)}
+    for _ in range(40):
+        found = {k: [1e-3] * 3 for k in range(16)}
+        for (k, x, y), times in cells.items():
+            parts = [w * p for w, p in zip(weights[k], (value(x), value(y), 1 / (v + 1)))]
+            for j in range(3):
+                found[k][j] += times * parts[j] / sum(parts)
+        weights = {k: [x / sum(own) for x in own] for k, own in found.items()}
+
+    def probability(word, before):
+        two, one, none = weights[bucket(uni[before])]
+        if not uni[before]:
+            two, one = 0, one + two
+        return (two * bi[before, word] / uni[before] if two else 0) + one * uni[word] / n + none / (v + 1)
+
+    return {i: sum(math.log10(probability(b, a)) for a, b in zip([None, *own], own)) for i, own in docs}, probability, list(uni)
+
+
+def test_lm_against_brute_force(spark):
+    """Scores equal a plain model's, one or many groups; given any context its probabilities add up to one."""
+    words = ["a", "b", "c", "d", "rare"]
+    rows = [(i, " ".join(RNG.choices(words, [9, 5, 3, 2, 0.1], k=RNG.randint(0, 30)))) for i in range(60)]
+    rows += [(1000 + k, f"{c} {w}") for k, (c, w) in enumerate((c, w) for c in ["a", "zz"] for w in [*words, "new"])] + [(2000, None), (2001, "zz")]
+    scores, probability, known = brute_scores(rows, lambda i: i < 1000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for settings in (LmSettings(train="doc_id < 1000"), LmSettings(train="doc_id < 1000", group_bytes=200, bucket_entries=4)):
+        # Where one group ends the next begins with an end too, so the groups do not show.
+        out = {r["doc_id"]: r["score"] for r in lm_scores(docs, settings).collect()}
+        assert out.keys() == scores.keys() and all(abs(out[i] - s) < 1e-6 for i, s in scores.items())
+    for before in [*known, "zz"]:
+        assert abs(sum(probability(w, before) for w in known) + probability("never seen", before) - 1) < 1e-9
+
+
+def test_lm_sends_in_proportion(spark):
+    """Cells that groups send grow as the input does: a bucket that nothing falls into is sent nothing."""
+    sent = []
+    for k in (1, 4):
+        rows = [(i, " ".join(f"w{RNG.randint(0, 400)}" for _ in range(60))) for i in range(60 * k)]
+        settings = LmSettings(group_bytes=2000, bucket_entries=200)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        bits = (group_count(text_bytes(docs) // 8, settings.bucket_entries) - 1).bit_length()
+        packs = pack(docs.selectExpr("true as train", "doc_id", "text"), settings.group_bytes)
+        cells = packs.mapInArrow(each_pack(_asks(bits)), ASKED).selectExpr("count(*)", "sum(length(small))").first()
+        assert cells[0] <= packs.count() * 2 << bits
+        sent.append(packs.count())
+    assert 3 <= sent[1] / sent[0] <= 5
+    assert grown(10**9, 4, 64) == 4 and grown(2 * 10**11, 4, 64) == 8 and grown(10**15, 4, 64) == 64
 
 
 def test_many_languages(spark):
