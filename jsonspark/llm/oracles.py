@@ -14,7 +14,7 @@ _EACH = _S.alpha / len(RULES)
 
 QUALITY = rf"""
 WITH w AS (
-  SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}+') AS w,
+  SELECT doc_id, lang AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}+') AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines FROM documents),
 win AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2),
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM win) WHERE c > 1),
@@ -27,8 +27,8 @@ f AS (
 v AS ({_VALUES}),
 good AS (SELECT doc_id FROM labels WHERE quality IN (0, 1) GROUP BY doc_id HAVING min(quality) = 1),
 held AS (
-  SELECT unnest(list_distinct([stratum, ''])) AS s, rule, v FROM v JOIN good USING (doc_id)),
-tests AS (SELECT greatest(1, count(DISTINCT s)) * {len(RULES)} * {max(map(len, RULES.values()))} AS n FROM held),
+  SELECT stratum AS s, rule, v FROM v JOIN good USING (doc_id)),
+tests AS (SELECT greatest(1, count(DISTINCT s) + max(CASE WHEN s IS NULL THEN 1 ELSE 0 END)) * {len(RULES)} * {max(map(len, RULES.values()))} AS n FROM held),
 counted AS (
   SELECT s, held.rule, cutoff, count(*) AS good, count(*) FILTER (WHERE v > cutoff) AS lost FROM held JOIN (VALUES {_CUTOFFS}) AS c(rule, cutoff) ON c.rule = held.rule GROUP BY ALL),
 tail AS (
@@ -37,7 +37,7 @@ tail AS (
 cuts AS (SELECT s, rule, min(cutoff) FILTER (WHERE p <= {_S.delta} / (SELECT n FROM tests)) AS cutoff FROM tail GROUP BY s, rule),
 verdict AS (
   SELECT v.doc_id, string_agg(CASE WHEN v.v > cuts.cutoff THEN v.rule END, ',' ORDER BY v.place) AS failed_rules
-  FROM v LEFT JOIN cuts ON cuts.rule = v.rule AND cuts.s = CASE WHEN v.stratum IN (SELECT s FROM cuts) THEN v.stratum ELSE '' END GROUP BY v.doc_id)
+  FROM v LEFT JOIN cuts ON cuts.rule = v.rule AND cuts.s IS NOT DISTINCT FROM v.stratum GROUP BY v.doc_id)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < {_S.min_words} OR 100 * n_repeat_words > {_S.max_repeat_percent} * n_words AS base_failed,
   NOT (n_words < {_S.min_words} OR 100 * n_repeat_words > {_S.max_repeat_percent} * n_words) AND failed_rules IS NULL AS kept,

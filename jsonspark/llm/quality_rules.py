@@ -6,11 +6,13 @@ P(X <= rejected | good, alpha) is the p-value of "this cutoff rejects more than
 alpha of the good documents".  A cutoff whose p-value is at most delta divided
 by the number of all tests (Bonferroni) is certified, and each stratum and rule
 uses its strictest certified cutoff, or none.  So with probability 1 - delta no
-stratum's rules reject more than ``alpha`` of its good documents.
+stratum's rules reject more than ``alpha`` of its good documents; a stratum that
+has nothing certified (too few labelled good documents, say) has no cutoff, so
+there the base rule alone rejects.  A null stratum is one of its own.
 
-Scale: one pass over the text (a checkpoint keeps a few numbers a document),
-an aggregation with map-side combine over strata x rules x bins, and a
-broadcast of at most ``max_strata`` rows of cutoffs.
+Scale: one pass over the text (a checkpoint keeps a few numbers a document), an
+aggregation with map-side combine over strata x rules x bins, and a join with one
+row of cutoffs a stratum, broadcast up to ``max_broadcast`` rows.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, words_column
+from .common import saved, small_enough, words_column
 
 #: Rule -> cutoffs, ascending; a document is rejected if its value is above the cutoff.
 RULES: dict[str, tuple[float, ...]] = {
@@ -38,7 +40,7 @@ class Settings:
     delta: float = 0.05  #: chance that any stratum exceeds alpha
     min_words: int = 50
     max_repeat_percent: int = 50
-    max_strata: int = 1000  #: only the largest strata get cutoffs of their own; "" pools the rest
+    max_broadcast: int = 100_000  #: rows of cutoffs; beyond, they are joined by a shuffle
     rules: dict = field(default_factory=lambda: dict(RULES))
 
 
@@ -47,7 +49,7 @@ def features(docs: DataFrame, stratum_col: str = "lang") -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.select(
         "doc_id",
-        F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"),
+        F.col(stratum_col).cast("string").alias("stratum"),
         words_column(F.col("text")).alias("w"),
         (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         (F.length(text) - F.length(F.regexp_replace(text, r"[A-Z]+", ""))).cast("long").alias("n_upper"),
@@ -122,7 +124,7 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def certified_cutoffs(feats: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Rows (stratum, rule, cutoff): the strictest certified cutoff of each, null where none is; "" is the pool.
+    """Rows (stratum, rule, cutoff): the strictest certified cutoff of each, null where none is.
 
     ``labels`` has doc_id and quality (1 good, 0 bad); rows with a null or
     another value are left out, and of several labels of a document the
@@ -142,20 +144,18 @@ def certified_cutoffs(feats: DataFrame, labels: DataFrame, settings: Settings =
     ])
     counts = (
         feats.join(good, "doc_id")
-        .select(F.explode(F.array_distinct(F.array(F.col("stratum"), F.lit("")))).alias("stratum"), bins.alias("bins"))
+        .select("stratum", bins.alias("bins"))
         .select("stratum", F.inline("bins").alias("rule", "bin"))
         .groupBy("stratum", "rule", "bin").agg(F.count("*").alias("n"))
         .groupBy("stratum", "rule").agg(F.sum("n").alias("good"), F.collect_list(F.struct("bin", "n")).alias("bins"))
     )
     width = max(len(c) for c in settings.rules.values())
     cutoffs = F.create_map(*[x for r in rules for x in (F.lit(r), F.array(*[F.lit(float(c)) for c in settings.rules[r]]))])
-    strata = counts.where(F.col("rule") == rules[0]).select("stratum", "good")
-    largest = strata.orderBy(F.desc(F.col("stratum") == ""), F.desc("good"), "stratum").limit(settings.max_strata)
-    tests = max(1, largest.count()) * len(rules) * width
+    counts = saved(counts)
+    tests = max(1, counts.where(F.col("rule") == rules[0]).count()) * len(rules) * width
     each = settings.alpha / len(rules)
     tested = (
-        counts.join(largest.select("stratum"), "stratum")
-        .select("stratum", "rule", "good", "bins", F.posexplode(cutoffs[F.col("rule")]).alias("j", "cutoff"))
+        counts.select("stratum", "rule", "good", "bins", F.posexplode(cutoffs[F.col("rule")]).alias("j", "cutoff"))
         .withColumn("lost", F.aggregate(F.filter("bins", lambda b: b["bin"] > F.col("j")), F.lit(0).cast("long"), lambda a, b: a + b["n"]))
     )
     # Beyond alpha itself the tail is about a half or more; it needs no sum.
@@ -169,26 +169,17 @@ def certified_cutoffs(feats: DataFrame, labels: DataFrame, settings: Settings =
 def quality_rules(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), stratum_col: str = "lang") -> DataFrame:
     """One row a document: its counts, ``base_failed``, ``kept`` and ``failed_rules``.
 
-    A null text is empty (so base_failed).  A stratum without any labelled good
-    document (a null one is "") or beyond ``max_strata`` uses the pool's cutoffs;
-    a tested stratum uses its own alone.  No labels: no cutoffs, so only the
-    base rule rejects.  Repeated rows are judged alike; other columns are ignored.
+    A null text is empty (so base_failed).  A stratum without a certified cutoff,
+    as one without labelled good documents, is judged by the base rule alone.
+    Repeated rows are judged alike; other columns are ignored.
     """
     feats = saved(features(docs, stratum_col))
-    rows = certified_cutoffs(feats, labels, settings).collect()  # at most max_strata x rules
-    none = float("inf")
-    chosen: dict[str, dict[str, float]] = {}
-    for r in rows:
-        chosen.setdefault(r["stratum"], {})[r["rule"]] = none if r["cutoff"] is None else r["cutoff"]
-    table = [(s, *[chosen[s].get(r, none) for r in settings.rules]) for s in chosen] or [("", *[none] * len(settings.rules))]
-    pool = chosen.get("", {})
-    own = docs.sparkSession.createDataFrame(table, "stratum string, " + ", ".join(f"c_{r} double" for r in settings.rules))
-    failed = F.array_compact(F.array(*[
-        F.when(_share(*VALUES[r]) > F.coalesce(F.col(f"c_{r}"), F.lit(pool.get(r, none))), F.lit(r)) for r in settings.rules
-    ]))
+    rows = certified_cutoffs(feats, labels, settings)
+    own = rows.groupBy(F.col("stratum").alias("of")).agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"c_{r}") for r in settings.rules])
+    failed = F.array_compact(F.array(*[F.when(_share(*VALUES[r]) > F.col(f"c_{r}"), F.lit(r)) for r in settings.rules]))
     base = (F.col("n_words") < settings.min_words) | (100 * F.col("n_repeat_words") > settings.max_repeat_percent * F.col("n_words"))
     return (
-        feats.join(F.broadcast(own), "stratum", "left")
+        feats.join(small_enough(own, settings.max_broadcast), F.col("stratum").eqNullSafe(F.col("of")), "left")
         .withColumn("failed_rules", failed)
         .select(
             "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

@@ -39,11 +39,11 @@ def test_binomial_tail(spark):
 
 def brute_cutoffs(rows, settings):
     """rows: (stratum, quality, value by rule)."""
-    strata = sorted({s for s, q, _ in rows if q == 1}) + [""]
+    strata = {s for s, q, _ in rows if q == 1}
     tests = len(strata) * len(settings.rules) * max(map(len, settings.rules.values()))
     each, found = settings.alpha / len(settings.rules), {}
     for s in strata:
-        good = [v for x, q, v in rows if q == 1 and s in (x, "")]
+        good = [v for x, q, v in rows if q == 1 and s == x]
         for rule, cutoffs in settings.rules.items():
             for c in cutoffs:
                 lost = sum(v[rule] > c for v in good)
@@ -83,3 +83,18 @@ def test_edges(spark):
     assert len(out) == 2 * len(TEXTS)
     assert all(r["kept"] == (not r["base_failed"]) for r in out)
     assert quality_rules(docs.limit(0), labels).count() == 0
+
+
+def test_every_stratum_has_its_own_tests(spark):
+    """1500 strata and a null one: each is tested by itself, and what is not certified has no cutoff."""
+    settings = Settings(alpha=0.9, delta=0.9, rules={"upper_share": (0.2,)})
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, base, f"s{i % 1500}") for i in range(1500)]
+    many = [(10_000 + i, base.upper() if i == 0 else base, None) for i in range(40)] + [(20_000, base.upper(), "alone"), (20_001, base.upper(), "")]
+    docs = spark.createDataFrame(rows + many, "doc_id long, text string, lang string")
+    labels = docs.where("doc_id < 20000").selectExpr("doc_id", "1 as quality")
+    cutoffs = certified_cutoffs(features(docs), labels, settings).collect()
+    assert len(cutoffs) == 1501 and [r["stratum"] for r in cutoffs if r["cutoff"] is not None] == [None]  # one document proves nothing
+    for limit in (100_000, 1):  # broadcast or shuffled
+        out = {r["doc_id"]: r["failed_rules"] for r in quality_rules(docs, labels, Settings(**{**settings.__dict__, "max_broadcast": limit})).collect()}
+        assert len(out) == docs.count() and {i for i, x in out.items() if x} == {10_000}
