@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,13 +37,18 @@ def ascii_lower_column(text: Column) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all machines share: the one that ``spark.checkpoint.dir`` names.
 
-    A local one is made only where neither the setting nor the context has any
-    (tests).
+    Where neither the setting nor the context has any, a session on one machine
+    (tests) gets a temporary one, removed at exit; a cluster must name its own.
     """
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="jsonspark-checkpoint-"))
+        if not named:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+            named = tempfile.mkdtemp(prefix="jsonspark-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
@@ -51,6 +58,19 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_prefix(columns: list[str]) -> str:
+    """A prefix that no column has, for names of a step's own."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
+def small_enough(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """Bytes of all texts, by one cheap aggregation."""
     return docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
@@ -70,10 +90,6 @@ def grown(total_bytes: int, least: int, most: int, known: int = 50_000_000_000)
     return int(min(most, least * max(1.0, (total_bytes / known) ** 0.5)))
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def connected_components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Smallest node that each node reaches, as rows (node, root); roots themselves left out.
 

@@ -8,8 +8,9 @@ words, and forward-backward gives every word's posterior.  A document's language
 is the one with the largest sum of posteriors; its score is that share.
 
 The model is fitted on the driver, on a bounded sample: ``docs_each`` training
-documents of each language, those with the smallest hashes, whole texts; the
-weights are about a quarter of a MB a language.  Prediction is one pass without a shuffle.
+documents of each language, those with the smallest hashes, whole texts and each
+once; the weights are about a quarter of a MB a language.  Prediction is one pass
+without a shuffle.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free_prefix
+
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -32,6 +35,8 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class Settings:
     docs_each: int = 150  #: training documents of a language
+    chars_each: int = 2_000_000  #: of these documents, and of one that may be learnt from
+    chars: int = 100_000_000  #: of all training documents
     table: int = 1 << 15  #: cells that n-grams are hashed to
     lexicon: int = 1000  #: frequent words of a language
     rounds: int = 25  #: of gradient ascent
@@ -177,38 +182,42 @@ def fit(samples: list[tuple[str, str]], settings: Settings = Settings()) -> Mode
 
 
 def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
-    """Fits on the documents with the smallest hashes of each language; labels and texts that are null are left out."""
+    """Fits on the documents with the smallest hashes of each language; labels and texts that are null are left out.
+
+    At most ``docs_each`` texts of a language come to the driver, of together
+    ``chars_each`` characters and ``chars`` for all languages; a longer text is
+    not learnt from.  Copies of a text count once.
+    """
     able = docs.where(F.expr(settings.train)).where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
-        "text", F.col("lang").cast("string").alias("lang"), F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("h")
+        F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h")
     )
-    common = able.groupBy("lang").count().collect()
+    common = able.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()
     if not common:
         return Model([], settings, {})
-    # A bound on the hash that about twice as many pass as are needed; then the smallest of them.
-    bounds = [(r["lang"], int(min(1.0, (2 * settings.docs_each + 50) / r["count"]) * (1 << 30))) for r in common]
-    near = able.join(F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound long")), "lang").where("h < bound")
-    rows = sorted(near.select("text", "lang", "h").collect(), key=lambda r: (r["h"], r["lang"], r["text"]))
-    chosen, taken = [], Counter()
-    last = None
-    for r in rows:
-        if taken[r["lang"]] < settings.docs_each and (r["h"], r["text"]) != last:  # copies teach nothing new
-            taken[r["lang"]] += 1
-            chosen.append((r["text"], r["lang"]))
-        last = r["h"], r["text"]
-    return fit(chosen, settings)
-
-
-def predict(docs: DataFrame, model: Model, chunk_chars: int = 2_000_000, carry: tuple[str, ...] = (), segments: bool = False, max_cached: int = 200_000) -> DataFrame:
+    # A bound on the hash that over twice as many pass as are needed; of those one of each text, then the smallest.
+    share = lambda n: min(1.0, (2.5 * settings.docs_each + 50) / max(n, 1))
+    bounds = docs.sparkSession.createDataFrame([(r["lang"], min(2**63 - 1, int((share(r["n"]) - 0.5) * 2**64))) for r in common], "lang string, bound long")
+    most = min(settings.chars_each, settings.chars // len(common))
+    one = able.join(F.broadcast(bounds), "lang").where((F.col("h") <= F.col("bound")) & (F.length("text") <= most)).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    by_hash = Window.partitionBy("lang").orderBy("h")
+    first = one.withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= settings.docs_each)
+    rows = first.withColumn("sum", F.sum(F.length("text")).over(by_hash.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("sum") <= most)
+    chosen = sorted(((r["h"], r["lang"], r["text"]) for r in rows.select("h", "lang", "text").collect()))
+    return fit([(text, lang) for _, lang, text in chosen], settings)
+
+
+def predict(docs: DataFrame, model: Model, chunk_chars: int = 2_000_000, carry: tuple[str, ...] = (), segments: bool = False, max_cached: int = 200_000, prefix: str = "") -> DataFrame:
     """doc_id, lang_pred, score, and the columns named in ``carry``; with ``segments``, the runs of words of one language.
 
     ``und`` with score 0 for a text that is null or has no letter, and for all if
-    the model knows no language.  Repeated rows are labelled alike.
+    the model knows no language.  Repeated rows are labelled alike.  ``prefix``
+    goes before the new names where a carried column has one of them.
     """
     run_type = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("words", T.LongType())]))
     kept = ["doc_id", *[c for c in carry if c != "doc_id"]]
     schema = T.StructType([
-        *[T.StructField(c, docs.schema[c].dataType) for c in kept], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
-        *([T.StructField("segments", run_type)] if segments else []),
+        *[T.StructField(c, docs.schema[c].dataType) for c in kept], T.StructField(f"{prefix}lang_pred", T.StringType()), T.StructField(f"{prefix}score", T.DoubleType()),
+        *([T.StructField(f"{prefix}segments", run_type)] if segments else []),
     ])
     names = [f.name for f in schema.fields]
 
@@ -258,7 +267,7 @@ def predict(docs: DataFrame, model: Model, chunk_chars: int = 2_000_000, carry:
                 yield pa.RecordBatch.from_arrays(cols, names)
                 at = end
 
-    return docs.select(*kept, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col("text").cast("string").alias(free_prefix(names) + "text")).mapInArrow(run, schema)
 
 
 def language_id(docs: DataFrame, settings: Settings = Settings(), segments: bool = False) -> DataFrame:

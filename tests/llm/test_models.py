@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -171,3 +172,21 @@ def test_many_languages(spark):
         assert cells == [{model.table + i} for i in range(k)] and all(model.weights[model.table + i, i] > 0 for i in range(k))
         out = predict(docs, model).collect()
         assert sum(r["lang_pred"] == names[r["doc_id"] % k] for r in out) / len(out) > 0.97
+
+
+def test_copies_and_clashing_names(spark):
+    """A text that occurs a thousand times is learnt from once; extra columns may have the names of results."""
+    rows = [(i, text(lang := list(SYLLABLES)[i % 3], 20), lang) for i in range(60)] + [(100 + i, "ba ko lu mi", "aa") for i in range(1000)]
+    docs = spark.createDataFrame([(*r, 7, 8) for r in rows], "doc_id long, text string, lang string, score int, __text int")
+    seen = []
+    module = sys.modules["jsonspark.llm.language_id"]
+    whole, module.fit = module.fit, lambda samples, settings: seen.extend(samples) or whole(samples, settings)
+    try:
+        model = train(docs, Settings(docs_each=30, chars_each=2000, train="true"))
+    finally:
+        module.fit = whole
+    assert len(set(seen)) == len(seen) <= 61 and sum(t == "ba ko lu mi" for t, _ in seen) <= 1
+    assert all(sum(len(t) for t, lang in seen if lang == k) <= 2000 for k in SYLLABLES)
+    out = predict(docs, model, carry=("text", "score", "__text"), prefix="own_").collect()
+    assert len(out) == len(rows) and all(r["score"] == 7 and r["__text"] == 8 and r["own_lang_pred"] for r in out)
+    assert train(docs, Settings(chars_each=1, train="true")).languages == []
