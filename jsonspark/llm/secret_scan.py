@@ -7,7 +7,7 @@ ordinary identifiers (long tokens of texts without any base finding, but for tho
 of letters and digits: the negatives), are compared by their log-likelihood ratio.
 
 Offsets come from ``split`` and ``regexp_extract_all`` of the same pattern:
-what lies between the matches and the matches themselves, whose lengths add up.
+what lies between the matches and the matches themselves, whose lengths are added.
 Training and scanning are one pass over the text each; the only data that meets
 is the bigram table, at most (alphabet squared) rows for each of two labels.
 """
@@ -20,9 +20,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_prefix
+from .shingles import kept_whole
+
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # greedy: the same as any longer run that is then measured
 HEX = r"[0-9a-f]{24,}"
+LEAST_VALUE = 6  #: characters of what is assigned
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
@@ -36,41 +40,53 @@ class Settings:
     weight: float = 5.0  #: how many bigrams the prior of a character's followers counts for
 
 
-def _spans(text: Column, pattern: str, kind: int, ok: Column | None = None, keep=None) -> Column:
-    """array<struct<s, k, e, v>> of all matches of a pattern, in code points; e is exclusive."""
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0 if kind else 2))
-    whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.length(m))
+ENTRY = "array<struct<s:int,k:int,e:int,v:string>>"
+BLOCK = 256  #: matches whose lengths are added up at a time
+
+
+def _matches(text: Column, pattern: str, kind: int) -> Column:
+    """array<struct<g, n, v>> of all matches: the length of what lies before since the last, the match's own, its value."""
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(gaps) - 1), F.arrays_zip(whole.alias("n"), value.alias("v")), lambda g, m: F.struct(g.alias("g"), m["n"].alias("n"), m["v"].alias("v")))
-    entry = "array<struct<s:int,k:int,e:int,v:string>>"
-    placed = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), F.array().cast(entry).alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["g"] + p["n"]).alias("at"),
-            F.when(
-                keep(p["v"]) if keep else F.lit(True),
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + p["g"]).alias("s"), F.lit(kind).alias("k"), (acc["at"] + p["g"] + p["n"]).alias("e"), p["v"].alias("v")))),
-            ).otherwise(acc["out"]).cast(entry).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(ok if ok is not None else text.rlike(pattern), placed).otherwise(F.array().cast(entry))
+    value = (lambda m: F.regexp_extract(m, pattern, 2)) if kind == 0 else (lambda m: m)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.zip_with(F.slice(gaps, F.lit(1), F.size(gaps) - 1), found, lambda g, m: F.struct(g.alias("g"), F.length(m).alias("n"), value(m).alias("v")))
+
+
+def with_spans(df: DataFrame, wanted: list[tuple[str, str, int, Column | None]]) -> DataFrame:
+    """Adds the columns (name, pattern, kind, test): array<struct<s, k, e, v>> in code points, e exclusive; empty where the test fails.
+
+    Places are sums of lengths, block by block, so that a text with very many
+    matches costs little more than its matches do.
+    """
+    free = free_prefix([*df.columns, *[w[0] for w in wanted]])
+    matches, blocks = free + "matches", free + "blocks"
+    text = F.col("text")
+    summed = lambda array, start, n: F.aggregate(F.slice(array, start, n), F.lit(0), lambda a, x: a + x["g"] + x["n"])
+    for name, pattern, kind, ok in wanted:
+        none = F.array().cast("array<struct<g:int,n:int,v:string>>")
+        df = df.withColumn(matches, kept_whole(F.when(text.rlike(pattern) if ok is None else ok, _matches(text, pattern, kind)).otherwise(none)))
+        df = df.withColumn(blocks, kept_whole(F.transform(F.sequence(F.lit(0), F.floor(F.size(matches) / BLOCK).cast("int")), lambda b: summed(F.col(matches), F.lit(1), b * BLOCK))))
+
+        def place(m: Column, i: Column) -> Column:
+            block = F.floor(i / BLOCK).cast("int")
+            start = F.get(F.col(blocks), block) + summed(F.col(matches), block * BLOCK + 1, i - block * BLOCK) + m["g"]
+            return F.struct(start.alias("s"), F.lit(kind).alias("k"), (start + m["n"]).alias("e"), m["v"].alias("v"))
+
+        df = df.withColumn(name, F.transform(matches, place).cast(ENTRY)).drop(matches, blocks)
+    return df
+
+
+MAY_ASSIGN = "(?i:password|passwd|secret|token|api_?key)"
 
 
-def base_spans(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def base_spans(docs: DataFrame, carry: tuple[str, ...] = (), name: str = "base") -> DataFrame:
     """doc_id, text, the columns of ``carry``, and ``base``, sorted by start and then kind (null text: none)."""
     kept = ["doc_id", "text", *[c for c in carry if c not in ("doc_id", "text")]]
-    text = F.col("text")
-    may = text.rlike("(?i:password|passwd|secret|token|api_?key)")
-    return docs.select(
-        *kept,
-        F.array_sort(F.concat(
-            _spans(text, ASSIGN, 0, may, lambda v: F.length(v) >= 6),
-            _spans(text, ACCESS, 1),
-            _spans(text, HEX, 2),
-        )).alias("base"),
-    )
+    free = free_prefix([*kept, name])
+    names = [free + k for k in KINDS[:3]]
+    df = with_spans(docs.select(*kept), [(names[0], ASSIGN, 0, F.col("text").rlike(MAY_ASSIGN)), (names[1], ACCESS, 1, None), (names[2], HEX, 2, None)])
+    long = F.filter(names[0], lambda x: F.length(x["v"]) >= LEAST_VALUE)
+    return df.select(*kept, kept_whole(F.array_sort(F.concat(long, *names[1:]))).alias(name))
 
 
 def _mixed(value: Column) -> Column:
@@ -85,10 +101,13 @@ def _ordinary(text: Column, settings: Settings) -> Column:
 
 def labelled_samples(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(value, label): 1 for what the base rules found, 0 for long tokens of texts where they found nothing."""
-    found = base_spans(docs)
+    text = F.col("text")
+    none = F.array().cast("array<string>")
+    values = lambda pattern, group, may: F.when(text.rlike(may), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).otherwise(none)
+    assigned = F.filter(values(ASSIGN, 2, MAY_ASSIGN), lambda v: F.length(v) >= LEAST_VALUE)
+    found = docs.select("text", kept_whole(F.concat(assigned, values(ACCESS, 0, ACCESS), values(HEX, 0, HEX))).alias("v"))
     return found.select(
-        F.when(F.size("base") > 0, F.transform("base", lambda b: b["v"])).otherwise(_ordinary(F.col("text"), settings)).alias("v"),
-        F.when(F.size("base") > 0, 1).otherwise(0).alias("label"),
+        F.when(F.size("v") > 0, F.col("v")).otherwise(_ordinary(text, settings)).alias("v"), F.when(F.size("v") > 0, 1).otherwise(0).alias("label")
     ).select(F.explode("v").alias("value"), "label")
 
 
@@ -136,22 +155,26 @@ def ratio(value: Column, table: list[float]) -> Column:
     )
 
 
-def secret_scan(docs: DataFrame, settings: Settings = Settings(), table: list[float] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+def secret_scan(
+    docs: DataFrame, settings: Settings = Settings(), table: list[float] | None = None, carry: tuple[str, ...] = (), prefix: str = ""
+) -> DataFrame:
     """doc_id, text, ``base`` and ``found``: array<struct<s, k, e, v>> by start and then kind (an index of KINDS).
 
     Base spans stay as they are; the model adds tokens that overlap none of
-    them, of ``min_token`` characters and more, whose ratio reaches ``min_ratio``.  A null text is empty; repeated rows are scanned
-    alike; only the columns named in ``carry`` come along (none may be called
-    base, more or found).  Without a table it learns from ``docs``.
+    them, of ``min_token`` characters and more, whose ratio reaches ``min_ratio``.
+    A null text is empty; repeated rows are scanned alike; only the columns named
+    in ``carry`` come along; ``prefix`` goes before the new names where one of
+    them has such a name.  Without a table it learns from ``docs``.
     """
     if table is None:
         table = train(labelled_samples(docs, settings), settings)
     token = r"[A-Za-z0-9+/_=-]{%d,}" % settings.min_token
-    df = base_spans(docs, carry).withColumn("more", _spans(F.col("text"), token, 3))
-    random = (
-        F.filter("more", lambda m: ~F.exists("base", lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"])) & (ratio(m["v"], table) >= settings.min_ratio))
-    )
-    return df.select(*[c for c in df.columns if c != "more"], F.array_sort(F.concat("base", random)).alias("found"))
+    base, found = f"{prefix}base", f"{prefix}found"
+    df = base_spans(docs, carry, base)
+    more = free_prefix([*df.columns, found]) + "more"
+    df = with_spans(df, [(more, token, 3, None)])
+    random = F.filter(more, lambda m: ~F.exists(base, lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"])) & (ratio(m["v"], table) >= settings.min_ratio))
+    return df.withColumn(found, F.array_sort(F.concat(base, random))).drop(more)
 
 
 def span_text(spans: Column) -> Column:

@@ -69,3 +69,32 @@ def test_letters_alone_are_judged(spark):
     out = {r["doc_id"]: r["s"] for r in secret_scan(docs, table=table).select("doc_id", span_text(F.col("found")).alias("s")).collect()}
     assert all(out[i] == "markov:8:48" for i, t in enumerate(texts) if t.startswith("look"))
     assert all(out[i] == "" for i, t in enumerate(texts) if t.startswith("the"))
+
+
+def test_very_many_matches(spark):
+    """Places over block boundaries, and a text whose matches are far too many for work that grows with their square."""
+    texts = [" ".join(f"token=abcd{'x' * (i % 7)}ef{i}" for i in range(n)) for n in (255, 256, 257, 513, 60_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secret_scan(docs, table=[0.0] * 128 * 128).select("doc_id", "base").collect():
+        assert [tuple(x)[:3] for x in r["base"]] == brute(texts[r["doc_id"]])
+
+
+def test_precision_and_recall(spark):
+    """Trained from labelled samples with digit-bearing identifiers; held-out tokens of both kinds are told apart."""
+    words = "user profile batch window request cache index offset stream payload customer order version session worker queue node shard".split()
+    ordinary = lambda: "_".join(RNG.choice(words) + RNG.choice(["", "", str(RNG.randint(0, 99))]) for _ in range(4))
+    secret = lambda: "".join(RNG.choice(string.ascii_letters + string.digits) for _ in range(RNG.randint(24, 48)))
+    samples = spark.createDataFrame([(ordinary(), 0) for _ in range(400)] + [(secret(), 1) for _ in range(400)], "value string, label int")
+    held = [(ordinary(), 0) for _ in range(300)] + [(secret(), 1) for _ in range(300)]
+    held = [(v, label) for v, label in held if len(v) >= 20]
+    docs = spark.createDataFrame([(i, f"see {v} here") for i, (v, _) in enumerate(held)], "doc_id long, text string")
+    found = {r["doc_id"]: r["found"] for r in secret_scan(docs, table=train(samples)).collect()}
+    hits = sum(bool(found[i]) for i, (_, label) in enumerate(held) if label)
+    false = sum(bool(found[i]) for i, (_, label) in enumerate(held) if not label)
+    assert hits / sum(label for _, label in held) > 0.95 and hits / (hits + false) > 0.98
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "token=abcdef", 1, 2, 3, 4)], "doc_id long, text string, base int, found int, more int, __matches int")
+    r = secret_scan(docs, carry=("base", "found", "more", "__matches"), prefix="own_").first()
+    assert (r["base"], r["found"], r["more"], r["__matches"]) == (1, 2, 3, 4) and len(r["own_found"]) == 1
