@@ -9,8 +9,10 @@ runs on Spark.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import replace
 
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -20,8 +22,8 @@ from .kernel import Kernel
 from .operators.documents import transform_documents
 from .operators.frame import execute_frame
 from .operators.normalise import normalise
-from .sources.readers import from_documents, from_local_frame, from_series, is_local_frame, to_text
-from .sources.sinks import to_target
+from .sources.readers import from_documents, from_local_frame, has_documents, is_local_frame, is_series, like_series, row_documents, series_values, to_text
+from .sources.sinks import TARGETS, to_target, usual_target
 
 
 class JsonOutput:
@@ -212,31 +214,35 @@ class JsonSpark:
                 return to_target(_normalise(data, column, config, schema), target or "pyspark")
             return to_target(execute_frame(data, config, schema), target or "pyspark")
         if is_local_frame(data):
-            kind = type(data).__module__.split(".")[0]
-            return to_target(execute_frame(from_local_frame(_session(), data), config, schema), target or kind)
-        if normalise:
-            many = data if isinstance(data, (list, tuple)) else [data]
+            return self._local_frame(data, config, target, schema)
+        many = series_values(data) if is_series(data) else data if isinstance(data, (list, tuple)) else [data] if isinstance(data, (str, dict)) else None
+        if many is not None:
             for i, item in enumerate(many):
-                if not isinstance(item, (str, dict)):
+                if not isinstance(item, (str, dict)) and not (item is None and is_series(data)):
                     raise ValueError(f"item {i} is neither a str nor a dict")
-            return to_target(_normalise(from_documents(_session(), many), "doc", config, schema), target or "pandas")
-        if isinstance(data, (str, dict)):
-            return _like(data, Kernel(config)(to_text(data)))
-        if isinstance(data, (list, tuple)):
-            for i, item in enumerate(data):
-                if not isinstance(item, (str, dict)):
-                    raise ValueError(f"item {i} is neither a str nor a dict")
-            return self._batch(list(data), config)
-        if any(hasattr(data, way) for way in ("to_pylist", "to_list", "tolist")):
-            done = transform_documents(from_series(_session(), data), "doc", config)
-            return type(data)([r[0] for r in done.collect()]) if type(data).__module__.startswith("pandas") else [r[0] for r in done.collect()]
+            if normalise:
+                kind = type(data).__module__.split(".")[0]
+                return to_target(_of_items(many, config, schema), target or (kind if kind in TARGETS else usual_target()))
+            if isinstance(data, (str, dict)):
+                return _like(data, Kernel(config)(to_text(data)))
+            done = self._batch(many, config)
+            return like_series(data, done) if is_series(data) else done
         raise ValueError("input must be a JSON str, a dict, a list of them, a frame or a series")
 
+    def _local_frame(self, frame, config: Config, target: str | None, schema: T.StructType | None):
+        kind = type(frame).__module__.split(".")[0]
+        target = target or (kind if kind in TARGETS else usual_target())
+        if not len(frame):
+            return frame if target == kind else to_target(_session().createDataFrame([], T.StructType([T.StructField(str(c), T.StringType()) for c in frame.columns])), target)
+        if has_documents(frame):
+            return to_target(_of_items(row_documents(frame, config.mode == "flatten"), config, schema), target)
+        return to_target(execute_frame(from_local_frame(_session(), frame), config, schema), target)
+
     def _batch(self, data: list, config: Config) -> list:
         run, out = Kernel(config), []
         for i, item in enumerate(data):
             try:
-                out.append(_like(item, run(to_text(item))))
+                out.append(None if item is None else _like(item, run(to_text(item))))
             except JsonSparkError as e:
                 raise at_item(i, e) from e
         return out
@@ -253,6 +259,18 @@ class JsonSpark:
 _normalise = normalise
 
 
+def _of_items(items: list, config: Config, schema: T.StructType | None) -> DataFrame:
+    """One wide frame of local items; an item that fails is named by its place."""
+    docs = from_documents(_session(), items, "doc", "at")
+    try:
+        return _normalise(docs, "doc", config, schema, index="at")
+    except PythonException as e:
+        found = re.search(r"row (\d+): \[(E\d+)\] [^:]*: ([^\n]*)", str(e))
+        if found is None:
+            raise
+        raise at_item(int(found[1]), JsonSparkError(found[2], found[3])) from None
+
+
 def _like(source, text: str):
     return json.loads(text) if isinstance(source, dict) else text
 

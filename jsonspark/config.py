@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import json
 import os
+import re
 from dataclasses import dataclass, field
 
 from .errors import JsonSparkError
@@ -43,8 +44,19 @@ class NumberConversion:
     radix: bool = True
 
 
-def _default_index() -> int:
-    return int(os.environ.get("JSONSPARK_MAX_ARRAY_INDEX", "100000"))
+def setting(name: str, default: int | None):
+    """A default that ``spark.jsonspark.<name>`` of the session overrides, or else JSONSPARK_<NAME> of the environment."""
+
+    def value() -> int | None:
+        from pyspark.sql import SparkSession
+
+        session = SparkSession.getActiveSession()
+        found = session.conf.get(f"spark.jsonspark.{name}", None) if session else None
+        if found is None:
+            found = os.environ.get("JSONSPARK_" + re.sub("([A-Z])", r"_\1", name).upper())
+        return default if found is None else int(found)
+
+    return field(default_factory=value)
 
 
 @dataclass(frozen=True)
@@ -66,11 +78,11 @@ class Config:
     nulls: NullConversion = NullConversion()
     booleans: BooleanConversion = BooleanConversion()
     numbers: NumberConversion = NumberConversion()
-    max_array_index: int = field(default_factory=_default_index)
-    # Kept for callers; Spark's partitions are the parallelism.
-    parallel_threshold: int = 100
-    nested_parallel_threshold: int = 100
-    num_threads: int | None = None
+    max_array_index: int = setting("maxArrayIndex", 100000)
+    # The thresholds are kept for callers; Spark's partitions are the parallelism.
+    parallel_threshold: int = setting("parallelThreshold", 100)
+    nested_parallel_threshold: int = setting("nestedParallelThreshold", 100)
+    num_threads: int | None = setting("numThreads", None)  #: partitions of a frame
     strict_patterns: bool = False  #: refuse a malformed pattern instead of ignoring it
 
     @property
@@ -92,12 +104,16 @@ class Config:
         if self.max_array_index < 0:
             raise JsonSparkError("E005", "max_array_index is negative")
         if self.strict_patterns:
-            from .patterns import compiled, parse
+            from .patterns import compiled, parse, unknown_groups
 
             for p in (*self.key_exclusions, *self.value_exclusions, *(p for p, _ in self.key_replacements + self.value_replacements)):
                 kind, body = parse(p)
                 if kind == "regex" and compiled(body) is None:
                     raise JsonSparkError("E002", f"malformed pattern {p}")
+            for p, text in self.key_replacements + self.value_replacements:
+                kind, body = parse(p)
+                if kind == "regex" and (unknown := unknown_groups(text, body)):
+                    raise JsonSparkError("E003", f"the replacement {text} of {p} names groups that are not there: {', '.join(unknown)}")
         return self
 
     def to_json(self) -> str:

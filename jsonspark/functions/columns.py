@@ -35,11 +35,14 @@ def json_normal(c: Column | str, config: Config = Config()) -> Column:
 
 def json_convert(c: Column | str, config: Config = Config(**ALL)) -> Column:
     """A plain string to the JSON text of its converted value, by expressions alone."""
-    from .exprs import converted
+    from .exprs import bound, converted
 
-    found = converted(_column(c), config)
-    kind, text = found.getField("kind"), found.getField("text")
-    return F.when(kind == 0, F.lit("null")).when(kind.isin(1, 2, 4), text).otherwise(F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", ""))
+    def shown(x: Column) -> Column:
+        kind, text = x["kind"], x["text"]
+        listed = F.to_json(F.array(text))
+        return F.when(kind == 0, F.lit("null")).when(kind.isin(1, 2, 4), text).otherwise(F.substr(listed, F.lit(2), F.length(listed) - 2))
+
+    return bound(converted(_column(c), config), shown)
 
 
 def json_entries(c: Column | str, config: Config = Config()) -> Column:

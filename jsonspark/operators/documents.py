@@ -74,13 +74,15 @@ def long_form(df: DataFrame, column: str, config: Config) -> DataFrame:
     ).select(*others, "pos", F.col("__x.key").alias("key"), F.col("__x.value").alias("value"))
 
 
-def rows_as_documents(df: DataFrame) -> Column:
-    """Every row as one JSON document, null fields included."""
-    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+def by_place(df: DataFrame) -> DataFrame:
+    """The frame with columns c0, c1, ...: names may differ in case alone, or be the same."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
-def parallel_hint(df: DataFrame, config: Config) -> DataFrame:
-    return df.repartition(config.num_threads) if config.num_threads else df
+def rows_as_documents(df: DataFrame) -> DataFrame:
+    """Every row as one JSON document in the column doc, null fields included."""
+    fields = [F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)]
+    return by_place(df).select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("doc"))
 
 
 def is_nested(kind: T.DataType) -> bool:

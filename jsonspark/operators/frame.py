@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+from dataclasses import replace
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,23 +12,34 @@ from pyspark.sql import types as T
 
 from ..config import Config
 from ..errors import JsonSparkError
-from ..functions.exprs import converted
+from ..functions.exprs import kept_text, with_converted
 from ..kernel import Obj, parse, render
 from ..plans.names import plan_names
-from .documents import is_nested, rows_as_documents
+from .documents import by_place, is_nested, rows_as_documents
 from .normalise import normalise, resolved_type
 
 SAMPLE = 20
 
 
 def json_columns(df: DataFrame, sample: int = SAMPLE) -> list[str]:
-    """String columns whose first non-null values all are JSON objects or arrays (a bounded probe)."""
+    """String columns whose first non-null values all are JSON objects or arrays (a bounded probe).
+
+    One job looks at the first rows; a column with too few values there gets a job
+    of its own.  The rows that come first decide; name the columns by
+    ``json_cols=`` where their order may change.
+    """
+    places = [i for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, T.StringType)]
+    if not places:
+        return []
+    plain = by_place(df).select(*[f"c{i}" for i in places])
+    head = plain.limit(sample).collect()
     found = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, T.StringType):
-            rows = df.select(F.col(f"`{f.name}`").alias("v")).where("v is not null").limit(sample).collect()
-            if rows and all(_container(r["v"]) for r in rows):
-                found.append(f.name)
+    for i in places:
+        values = [r[f"c{i}"] for r in head if r[f"c{i}"] is not None]
+        if len(values) < len(head) == sample and all(map(_container, values)):
+            values = [r[0] for r in plain.select(f"c{i}").where(f"c{i} is not null").limit(sample).collect()]
+        if values and all(map(_container, values)):
+            found.append(df.columns[i])
     return found
 
 
@@ -38,17 +52,11 @@ def _container(text: str) -> bool:
         return False
 
 
-def unparsable(df: DataFrame, column: str) -> int:
-    """How many non-null values of a column are no JSON."""
-    c = F.col(f"`{column}`")
-    return df.select(F.count_if(c.isNotNull() & F.try_parse_json(c).isNull()).alias("n")).first()["n"]
-
-
-def spliced(df: DataFrame, columns: list[str]) -> DataFrame:
+def spliced(df: DataFrame, columns: list[str], bad: dict[str, object] | None = None) -> DataFrame:
     """One document a row (column doc): JSON text columns in place of their text, objects without their column's name.
 
     A null cell of such a column adds nothing; text that is no JSON stays under
-    its column's name.
+    its column's name and is counted by the accumulator of that name in ``bad``.
     """
     marked = frozenset(columns)
     nested = frozenset(f.name for f in df.schema.fields if is_nested(f.dataType) and not isinstance(f.dataType, T.ArrayType))
@@ -64,7 +72,8 @@ def spliced(df: DataFrame, columns: list[str]) -> DataFrame:
                         inner = parse(value)
                         value = inner if isinstance(inner, list) else value
                     except JsonSparkError:
-                        pass
+                        if bad:
+                            bad[key].add(1)
                 if isinstance(value, Obj) and (key in marked or key in nested):
                     pairs.extend(value)
                 elif value is not None or key not in marked:
@@ -72,11 +81,11 @@ def spliced(df: DataFrame, columns: list[str]) -> DataFrame:
             out.append(render(pairs))
         return pa.array(out, pa.string())
 
-    return df.select(splice(rows_as_documents(df)).alias("doc"))
+    return rows_as_documents(df).select(splice("doc").alias("doc"))
 
 
 def static_leaves(schema: T.StructType, separator: str) -> list[tuple[str, Column, T.DataType]] | None:
-    """(path, Column, type) of all leaves, or None if a column needs the kernel; top-level structs lose their name."""
+    """(path, Column of the frame by place, type) of all leaves, or None if a column needs the kernel; top-level structs lose their name."""
     out: list[tuple[str, Column, T.DataType]] = []
 
     def walk(prefix: str, column: Column, kind: T.DataType) -> bool:
@@ -89,8 +98,8 @@ def static_leaves(schema: T.StructType, separator: str) -> list[tuple[str, Colum
         out.append((prefix, column, kind))
         return True
 
-    for f in schema.fields:
-        column = F.col(f"`{f.name}`")
+    for i, f in enumerate(schema.fields):
+        column = F.col(f"c{i}")
         if not walk("" if isinstance(f.dataType, T.StructType) else f.name, column, f.dataType):
             return None
     return out
@@ -114,21 +123,27 @@ def flatten_static(df: DataFrame, config: Config) -> DataFrame | None:
     text = [i for i in used if isinstance(leaves[i][2], T.StringType)]
     changed = bool(config.converts or config.value_replacements or config.remove_empty_strings)
     source = spread(df) if config.converts and text else df
-    inner = source.select(*[(converted(leaves[i][1], config) if changed and i in text else leaves[i][1]).alias(f"c{i}") for i in used])
+    inner = by_place(source).select(*[leaves[i][1].alias(f"l{i}") for i in used])
+    if changed and text:
+        inner = with_converted(inner, {f"v{i}": F.col(f"l{i}") for i in text}, config)
     kinds = {i: leaves[i][2] for i in used}
     if changed and text:
+        kinds |= {i: T.StringType() for i in text}
+        if config.converts and df.isStreaming:
+            raise JsonSparkError("E005", "conversion needs all values to find a column's type; use foreachBatch on a stream")
+        seen = [F.bit_or(F.col(f"v{i}.kind")).alias(f"b{i}") for i in text] if config.converts else []
+        if config.remove_empty_strings and not df.isStreaming:
+            seen += [F.bool_or(F.col(f"l{i}").isNull() | kept_text(F.col(f"l{i}"), config).isNotNull()).alias(f"k{i}") for i in text]
+        row = inner.agg(*seen).first().asDict() if seen else {}
         if config.converts:
-            if df.isStreaming:
-                raise JsonSparkError("E005", "conversion needs all values to find a column's type; use foreachBatch on a stream")
-            bits = inner.agg(*[F.bit_or(F.col(f"c{i}.kind")).alias(f"b{i}") for i in text]).first()
-            kinds |= {i: resolved_type(bits[f"b{i}"] or 0) for i in text}
-        else:
-            kinds |= {i: T.StringType() for i in text}
+            kinds |= {i: resolved_type(row[f"b{i}"] or 0) for i in text}
+        gone = {i for i in text if row.get(f"k{i}") is False}  # every cell was filtered
+        plan = [replace(p, sources=own) for p in plan if (own := [i for i in p.sources if i not in gone])]
     columns = []
     for p in plan:
         parts = []
         for i in p.sources:
-            c = F.col(f"c{i}")
+            c = F.col(f"v{i}" if changed and i in text else f"l{i}")
             if changed and i in text:
                 value, kind = c.getField("text"), kinds[i]
                 c = F.when(c.getField("kind") == 1, F.initcap(value)).otherwise(value) if isinstance(kind, T.StringType) else value.try_cast(kind)
@@ -143,6 +158,14 @@ def flatten_static(df: DataFrame, config: Config) -> DataFrame | None:
     return inner.select(*[c.alias(f"o{i}") for i, c in enumerate(columns)]).toDF(*[p.name for p in plan])
 
 
+def threaded(df: DataFrame, config: Config) -> DataFrame:
+    """The frame in ``num_threads`` partitions where that is set: more are joined without a shuffle, fewer are dealt."""
+    n = config.num_threads
+    if not n or df.isStreaming:
+        return df
+    return df.coalesce(n) if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def execute_frame(df: DataFrame, config: Config, schema: T.StructType | None = None, json_cols: list[str] | None = None, max_columns: int = 100_000) -> DataFrame:
     """Every row as a document, through the configured mode, as a typed frame.
 
@@ -152,13 +175,18 @@ def execute_frame(df: DataFrame, config: Config, schema: T.StructType | None = N
     finds them otherwise; a stream needs them named).
     """
     config.checked()
+    df = threaded(df, config)
     if json_cols is None:
         if df.isStreaming:
             raise JsonSparkError("E005", "name the JSON text columns of a stream by json_cols=")
         json_cols = json_columns(df)
     if config.mode == "flatten" and not json_cols and schema is None and (done := flatten_static(df, config)) is not None:
         return done
-    docs = spliced(df, json_cols) if config.mode == "flatten" else df.select(rows_as_documents(df).alias("doc"))
-    return normalise(docs, "doc", config, schema, max_columns)
-
-
+    if config.mode != "flatten":
+        return normalise(rows_as_documents(df), "doc", config, schema, max_columns)
+    bad = {c: df.sparkSession.sparkContext.accumulator(0) for c in json_cols} if schema is None and not df.isStreaming else {}
+    done = normalise(spliced(df, json_cols, bad), "doc", config, schema, max_columns)
+    for c, n in bad.items():  # the job that looked for the keys has read every row
+        if n.value:
+            warnings.warn(f"column {c!r}: {n.value} values are no JSON and stay as text", stacklevel=3)
+    return done

@@ -104,10 +104,11 @@ def typed(value, kind: T.DataType):
     return as_text(value)
 
 
-def discover(docs: DataFrame, column: str, config: Config, max_columns: int = 100_000) -> T.StructType:
+def discover(docs: DataFrame, column: str, config: Config, max_columns: int = 100_000, index: str | None = None) -> T.StructType:
     """The schema of all documents: keys in the order in which they are first seen, types by all of their values.
 
-    "First" follows the order of partitions, and of rows inside each.
+    "First" follows the column ``index``, or else the order of partitions and of
+    rows inside each.
     """
     wire, dates = config.checked().to_json(), config.dates.enabled
 
@@ -123,7 +124,8 @@ def discover(docs: DataFrame, column: str, config: Config, max_columns: int = 10
                         old = seen.get(key)
                         seen[key] = (rid, pos, bits) if old is None else (old[0], old[1], old[2] | bits)
                 except JsonSparkError as e:
-                    raise JsonSparkError("E006", f"row {rid}: {e}") from e
+                    place = f"row {rid}" if index or rid < 1 << 33 else f"row {rid % (1 << 33)} of partition {rid >> 33}"
+                    raise JsonSparkError("E006", f"{place}: {e}") from e
             if len(seen) > max_columns:  # partial results; the aggregation joins them
                 yield _table(seen)
                 seen = {}
@@ -135,7 +137,7 @@ def discover(docs: DataFrame, column: str, config: Config, max_columns: int = 10
         return pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(rid, pa.int64()), pa.array(pos, pa.int32()), pa.array(bits, pa.int32())], ["key", "rid", "pos", "bits"])
 
     found = (
-        docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{column}`").alias("doc"))
+        docs.select((F.col(index) if index else F.monotonically_increasing_id()).alias("rid"), F.col(f"`{column}`").alias("doc"))
         .mapInArrow(keys, "key string, rid long, pos int, bits int")
         .groupBy("key").agg(F.min(F.struct("rid", "pos")).alias("first"), F.bit_or("bits").alias("bits"))
         .orderBy("first").limit(max_columns + 1).collect()
@@ -169,12 +171,12 @@ def project(docs: DataFrame, column: str, config: Config, schema: T.StructType)
     return docs.select(F.col(f"`{column}`").alias("doc")).mapInArrow(rows, inner).toDF(*names)
 
 
-def normalise(docs: DataFrame, column: str, config: Config, schema: T.StructType | None = None, max_columns: int = 100_000) -> DataFrame:
+def normalise(docs: DataFrame, column: str, config: Config, schema: T.StructType | None = None, max_columns: int = 100_000, index: str | None = None) -> DataFrame:
     """The union of all documents' results, a column a (top-level) key; documents without any key at all give no columns and no rows."""
     if schema is None:
         if docs.isStreaming:
             raise JsonSparkError("E005", "a stream needs schema=: its keys cannot be looked for beforehand")
-        schema = discover(docs, column, config, max_columns)
+        schema = discover(docs, column, config, max_columns, index)
     if not schema.fields:
         return docs.sparkSession.createDataFrame([], T.StructType([]))
     return project(docs, column, config, schema)

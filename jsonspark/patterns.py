@@ -59,6 +59,13 @@ def java_replacement(text: str, body: str) -> str:
     return "".join(out)
 
 
+def unknown_groups(text: str, body: str) -> list[str]:
+    """The groups that a replacement refers to and its expression does not have."""
+    regex = compiled(body)
+    names = [m[1] if m[1] is not None else m[2] for m in REFERENCE.finditer(text)]
+    return [n for n in names if n is not None and not (n.isdigit() and int(n) <= regex.groups) and n not in regex.groupindex]
+
+
 def _expanded(text: str):
     def expand(match: re.Match) -> str:
         def value(ref: re.Match) -> str:

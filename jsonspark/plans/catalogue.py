@@ -341,5 +341,76 @@ def sql_functions(spark, sf_dir):
 def rows_to_documents(spark, sf_dir):
     """Rows to documents and back through the typed table."""
     rows = read(spark, sf_dir, "region")
-    out = normalise(rows.select(rows_as_documents(rows).alias("d")), "d", FLAT)
+    out = normalise(rows_as_documents(rows), "doc", FLAT)
     return out.select(F.col("r_regionkey").cast("int").alias("r_regionkey"), "r_name")
+
+
+_SIGNS = {"paren": "(%s)", "square": "[%s]", "after": "%s-", "before": "-%s", "plus": "+%s"}
+_TWICE = {"paren_minus": "(-%s)", "minus_minus": "--%s", "both_ends": "-%s-", "square_minus": "[-%s]"}
+
+
+@query("SELECT s_suppkey AS id, " + ", ".join([*[f"CAST({'' if k == 'plus' else '-'}s_suppkey AS BIGINT) AS {k}" for k in _SIGNS], *[f"replace('{v}', '%s', CAST(s_suppkey AS VARCHAR)) AS {k}" for k, v in _TWICE.items()]]) + " FROM supplier")
+def convert_sign_forms(spark, sf_dir):
+    """One sign in any form makes a number; two make none."""
+    s = read(spark, sf_dir, "supplier")
+    x = s.select(F.col("s_suppkey").alias("id"), *[F.format_string(form, F.col("s_suppkey").cast("string")).alias(k) for k, form in (_SIGNS | _TWICE).items()])
+    return execute_frame(x, replace(FLAT, numbers=NUMBERS), json_cols=[])
+
+
+@query("""SELECT c_custkey AS k, CAST(c_custkey * 1000000 AS BIGINT) AS usd, CAST(c_custkey + 0.5 AS DOUBLE) AS comma, CAST(1234567 AS BIGINT) AS indian, CAST(c_custkey * 1000000 AS BIGINT) AS dots,
+    c_custkey / 1000.0 AS permille, c_custkey / 10000.0 AS tenthousandth, 'NOK' || c_custkey AS unknown FROM customer""")
+def convert_separators_permille(spark, sf_dir):
+    """Grouping by comma, point and in the Indian way, a decimal comma, codes, \u2030 and \u2031."""
+    n = F.col("c_custkey").cast("string")
+    c = read(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("k"), F.concat(F.lit("USD "), n, F.lit(",000,000")).alias("usd"), F.concat(n, F.lit(",5")).alias("comma"), F.lit("12,34,567").alias("indian"),
+        F.concat(n, F.lit(".000.000")).alias("dots"), F.concat(n, F.lit("\u2030")).alias("permille"), F.concat(n, F.lit("\u2031")).alias("tenthousandth"), F.concat(F.lit("NOK"), n).alias("unknown"),
+    )
+    return execute_frame(c, replace(FLAT, numbers=NUMBERS), json_cols=[])
+
+
+@query("""SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS ordinal, CAST(o_orderdate AS DATE) AS week, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS kept,
+    strftime(o_orderdate, '%Y-%m-%d %H:%M') AS naive, o_orderkey || '%' AS percent, CAST(o_orderkey AS BIGINT) AS plain FROM orders""")
+def convert_dates_knobs(spark, sf_dir):
+    """Ordinal and week dates; with naive times left alone, and percent switched off."""
+    at = F.col("o_orderdate")
+    year = F.extract(F.lit("YEAROFWEEK"), at).cast("string")
+    day = F.concat(year, F.lit("-W"), F.lpad(F.weekofyear(at).cast("string"), 2, "0"), F.lit("-"), (F.weekday(at) + 1).cast("string"))
+    o = read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.date_format(at, "yyyy-DDD").alias("ordinal"), day.alias("week"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("kept"),
+        F.date_format(at, "yyyy-MM-dd HH:mm").alias("naive"), F.concat(F.col("o_orderkey").cast("string"), F.lit("%")).alias("percent"), F.col("o_orderkey").cast("string").alias("plain"),
+    )
+    utc = execute_frame(o.select("id", "ordinal", "week"), replace(FLAT, dates=DateConversion(True)), json_cols=[])
+    rest = execute_frame(o.select("id", "kept", "naive", "percent", "plain"), replace(FLAT, dates=DateConversion(True, False, False), numbers=NumberConversion(True, percent=False)), json_cols=[])
+    rest = rest.withColumn("kept", F.col("kept").cast("string") if dict(rest.dtypes)["kept"] == "string" else F.date_format("kept", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return utc.join(rest, "id")
+
+
+@query("""SELECT s_suppkey AS k, 's' || s_suppkey AS first, CAST(s_nationkey AS BIGINT) AS nation, CAST(NULL AS VARCHAR) AS empty, 'x' AS far,
+    CAST(to_json(['s' || s_suppkey, 'last']) AS VARCHAR) AS merged FROM supplier""")
+def unflatten_collisions_filters(spark, sf_dir):
+    """Unflatten: nested array paths, filters, keys that meet after a replacement, an index too large for an array."""
+    s = read(spark, sf_dir, "supplier")
+    name = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
+    flat = doc(**{"a.0.b.0.c": name, "a.0.b.1.c": F.lit(""), "n.User_k": name, "n.Admin_k": F.lit("last"), "n.v": F.col("s_nationkey"), "n.gone": F.lit(None).cast("string"), "far.99999999999999999999999": F.lit("x"), "far.1": F.lit("y")})
+    config = replace(DEEP, remove_empty_strings=True, remove_nulls=True, remove_empty_objects=True, key_replacements=(("r'(User|Admin)_'", ""),), handle_key_collision=True)
+    d = s.select("s_suppkey", json_unflatten(flat, config).alias("d"))
+    got = lambda path: F.get_json_object("d", path)
+    return d.select(
+        F.col("s_suppkey").alias("k"), got("$.a[0].b[0].c").alias("first"), got("$.n.v").cast("bigint").alias("nation"), got("$.n.gone").alias("empty"), got("$.far['99999999999999999999999']").alias("far"), got("$.n.k").alias("merged"),
+    )
+
+
+@query("""SELECT n_nationkey AS k, lower(n_name) AS text, CAST(n_regionkey AS BIGINT) AS number, NULL::VARCHAR AS nothing, [n_name, 'b'] AS met FROM nation""")
+def roots_and_normal_collisions(spark, sf_dir):
+    """Documents that are one scalar; normal mode with keys that change and meet."""
+    n = read(spark, sf_dir, "nation")
+    rename = replace(SAME, lowercase_keys=True, key_replacements=(("X_", ""),), handle_key_collision=True)
+    out = n.select(
+        "n_nationkey", json_flatten(F.concat(F.lit('"'), F.lower("n_name"), F.lit('"')), FLAT).alias("t"), json_flatten(F.concat(F.lit(" "), F.col("n_regionkey").cast("string")), FLAT).alias("v"),
+        json_flatten(F.lit("null"), FLAT).alias("z"), json_normal(doc(o=dict(X_K=F.col("n_name"), k=F.lit("b"))), rename).alias("m"),
+    )
+    return out.select(
+        F.col("n_nationkey").alias("k"), F.from_json(F.concat(F.lit('{"v":'), "t", F.lit("}")), "v string")["v"].alias("text"), F.col("v").cast("bigint").alias("number"),
+        F.nullif("z", F.lit("null")).alias("nothing"), F.from_json("m", "o struct<k:array<string>>")["o"]["k"].alias("met"),
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib.util
+
 from pyspark.sql import DataFrame
 
 TARGETS = ("pyspark", "pandas", "pyarrow", "polars")
@@ -24,6 +26,12 @@ def to_target(df: DataFrame, target: str):
     return df
 
 
+def usual_target() -> str:
+    """The first of pandas, Polars and PyArrow that is there."""
+    found = (t for t, module in (("pandas", "pandas"), ("polars", "polars"), ("pyarrow", "pyarrow")) if importlib.util.find_spec(module))
+    return next(found, "pyspark")
+
+
 def write_ndjson(df: DataFrame, path: str, column: str = "doc", mode: str = "errorifexists") -> None:
     """One document a line."""
     df.select(column).write.mode(mode).text(path)

@@ -1,8 +1,11 @@
 import datetime as dt
 import pickle
 import time
+import warnings
 from dataclasses import replace
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,7 +13,7 @@ from pyspark.sql import types as T
 from jsonspark import Config, JsonSpark, JsonSparkError, NumberConversion
 from jsonspark.functions.columns import ALL, json_flatten, json_unflatten, register
 from jsonspark.operators.documents import long_form, transform_documents
-from jsonspark.operators.frame import execute_frame, json_columns, unparsable
+from jsonspark.operators.frame import execute_frame, json_columns
 from jsonspark.operators.normalise import normalise
 from jsonspark.sources.readers import from_documents, from_ndjson
 from jsonspark.sources.sinks import to_target, write_ndjson
@@ -87,8 +90,13 @@ def test_json_text_columns(spark):
     out = execute_frame(df, FLAT)
     assert out.columns == ["id", "user.name", "tags.0", "tags.1"] and rows(out) == [(1, "A", "x", "y"), (2, None, None, None), (3, "B", None, None)]
     bad = spark.createDataFrame([(1, '{"a":1}'), (2, "oops")], "id int, p string")
-    assert json_columns(bad) == [] and unparsable(bad, "p") == 1
-    assert execute_frame(bad, FLAT, json_cols=["p"]).columns == ["id", "a", "p"]
+    assert json_columns(bad) == []
+    with pytest.warns(UserWarning, match="'p': 1 value"):
+        assert execute_frame(bad, FLAT, json_cols=["p"]).columns == ["id", "a", "p"]
+    with warnings.catch_warnings(record=True) as told:
+        warnings.simplefilter("always", UserWarning)
+        execute_frame(df, FLAT)
+    assert not [w for w in told if w.category is UserWarning]
     two = spark.createDataFrame([('{"k":1}', '{"k":2}')], "a string, b string")
     assert rows(execute_frame(two, FLAT)) == [(2,)] and rows(execute_frame(two, replace(FLAT, handle_key_collision=True))) == [([1, 2],)]
 
@@ -179,3 +187,71 @@ def test_files_and_streams(spark, tmp_path):
     schema = T.StructType([T.StructField("a.b", T.LongType())])
     good = stream.where("doc <> '{'")
     assert sorted(rows(drain(normalise_stream(good, "doc", FLAT, schema), f"n{int(time.time())}"))) == [(1,), (2,)]
+
+
+def test_names_that_differ_in_case(spark):
+    df = spark.createDataFrame([("1", "x", '{"k":1}')], "a string, b string, c string").toDF("A", "a", "p")
+    assert rows(execute_frame(df, FLAT)) == [("1", "x", 1)] and execute_frame(df, FLAT).columns == ["A", "a", "k"]
+    flat = execute_frame(spark.createDataFrame([("1", '{"k":1}')], "a string, b string").toDF("X", "x"), replace(FLAT, **ALL), json_cols=[])
+    assert flat.columns == ["X", "x"] and rows(flat) == [(1, '{"k":1}')]
+    assert rows(execute_frame(df.toDF("A", "A", "p"), FLAT, json_cols=[]).limit(0)) == []
+
+
+def test_columns_whose_cells_are_all_filtered(spark):
+    df = spark.createDataFrame([(1, "", None, "x"), (2, "gone", "", "")], "id int, a string, b string, c string")
+    config = replace(FLAT, remove_empty_strings=True, value_replacements=(("gone", ""),))
+    for c in (config, replace(config, **ALL)):
+        out = execute_frame(df, c)
+        assert out.columns == ["id", "b", "c"] and rows(out) == [(1, None, "x"), (2, None, None)]
+
+
+def test_num_threads(spark):
+    df = spark.range(40).selectExpr("cast(id as string) as a")
+    for n in (1, 3, 7):
+        assert execute_frame(df, replace(FLAT, num_threads=n)).rdd.getNumPartitions() == n
+
+
+def test_local_frames_of_mixed_cells(spark):
+    mixed = pd.DataFrame({"id": [1, 2, 3], "v": [{"a": 1}, "text", None], "w": [[1, 2], 5, {"b": dt.date(2024, 1, 5)}], "t": pd.to_datetime(["2024-01-01", None, None])})
+    out = JsonSpark().flatten().execute(mixed)
+    assert isinstance(out, pd.DataFrame) and list(out.columns) == ["id", "a", "w.0", "w.1", "t", "v", "w", "b"]
+    assert out["b"].tolist()[2] == "2024-01-05" and out["v"].tolist()[1] == "text" and out["w"].tolist()[1] == 5
+    for empty in (pd.DataFrame(), pd.DataFrame({"a": []}), pd.DataFrame({"a": pd.Series([], dtype=object)})):
+        assert JsonSpark().flatten().execute(empty).shape == empty.shape
+    assert JsonSpark().flatten().execute(pa.table({"a": pa.array([], pa.int64())})).num_rows == 0
+
+
+def test_series(spark):
+    tool = JsonSpark().flatten()
+    series = pd.Series([{"a": {"b": 1}}, None, '{"c":{"d":2}}'], index=[5, 6, 7], name="docs")
+    out = tool.execute(series)
+    assert out.tolist() == [{"a.b": 1}, None, '{"c.d":2}'] and list(out.index) == [5, 6, 7] and out.name == "docs"
+    assert tool.execute(pa.array(['{"a":{"b":1}}', None])).to_pylist() == ['{"a.b":1}', None]
+    wide = tool.execute(pd.Series([{"a": 1}, {"a": 2, "b": "x"}]), normalise=True)
+    assert isinstance(wide, pd.DataFrame) and list(wide.columns) == ["a", "b"] and len(wide) == 2
+    assert tool.execute(pa.array(['{"a":1}']), normalise=True).column_names == ["a"]
+
+
+def test_bad_row_of_normalise(spark):
+    documents = ['{"a":1}'] * 57 + ["{oops"] + ['{"a":2}'] * 40
+    with pytest.raises(JsonSparkError, match="item 57") as e:
+        JsonSpark().flatten().execute(documents, normalise=True)
+    assert e.value.code == "E006" and "E004" in str(e.value)
+    with pytest.raises(Exception, match=r"row \d+ of partition \d"):
+        wide(spark, documents).collect()
+
+
+def test_strict_replacements_and_settings(spark, monkeypatch):
+    JsonSpark().flatten().key_replacement("r'(a)'", "$5").execute("{}")
+    with pytest.raises(JsonSparkError, match="E003"):
+        JsonSpark().flatten().strict_patterns().key_replacement("r'(a)'", "$5").execute("{}")
+    with pytest.raises(JsonSparkError, match="E003"):
+        JsonSpark().flatten().strict_patterns().value_replacement("r'(?<x>a)'", "${y}").execute("{}")
+    JsonSpark().flatten().strict_patterns().value_replacement("r'(?<x>a)'", "${x}$1$$").execute("{}")
+    monkeypatch.setenv("JSONSPARK_PARALLEL_THRESHOLD", "7")
+    assert Config().parallel_threshold == 7
+    spark.conf.set("spark.jsonspark.maxArrayIndex", "12")
+    try:
+        assert Config().max_array_index == 12 and Config(max_array_index=3).max_array_index == 3
+    finally:
+        spark.conf.unset("spark.jsonspark.maxArrayIndex")
