@@ -72,7 +72,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
-    return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    found = contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start_word", "n_words", F.round("similarity", 6).alias("similarity"))
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +90,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, rule="most")
 
 
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op9 that SQL can express."""
+    return op9_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op3 that SQL can express."""
+    return op3_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash": op2_simhash,
@@ -100,7 +111,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_lm_score": op9_lm_score,
     "op10_token_counts": op10_token_counts,
+    "lm_base_scores": lm_base_scores,
+    "secret_base_spans": secret_base_spans,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": oracles.QUALITY}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": oracles.QUALITY,
+    "op5_license_scan": oracles.LICENSES,
+    "op6_suffix_dedup": oracles.PASSAGES,
+    "op8_decontaminate": oracles.DECONTAMINATION,
+    "lm_base_scores": oracles.LM_BASE,
+    "secret_base_spans": oracles.SECRET_BASE,
+}
