@@ -206,7 +206,7 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     return fit([(text, lang) for _, lang, text in chosen], settings)
 
 
-def predict(docs: DataFrame, model: Model, chunk_chars: int = 2_000_000, carry: tuple[str, ...] = (), segments: bool = False, max_cached: int = 200_000, prefix: str = "") -> DataFrame:
+def predict(docs: DataFrame, model: Model, chunk_chars: int = 1_500_000, carry: tuple[str, ...] = (), segments: bool = False, max_cached: int = 200_000, prefix: str = "") -> DataFrame:
     """doc_id, lang_pred, score, and the columns named in ``carry``; with ``segments``, the runs of words of one language.
 
     ``und`` with score 0 for a text that is null or has no letter, and for all if
@@ -220,6 +220,8 @@ def predict(docs: DataFrame, model: Model, chunk_chars: int = 2_000_000, carry:
         *([T.StructField(f"{prefix}segments", run_type)] if segments else []),
     ])
     names = [f.name for f in schema.fields]
+    # A text that is carried along is sent once.
+    place = kept.index("text") if "text" in kept and isinstance(docs.schema["text"].dataType, T.StringType) else len(kept)
 
     def label(texts: list[str | None], cache: dict[str, int], known: list[np.ndarray]):
         split = [words_of(t) for t in texts]
@@ -254,7 +256,7 @@ def predict(docs: DataFrame, model: Model, chunk_chars: int = 2_000_000, carry:
         cache: dict[str, int] = {}
         known = [np.zeros((0, len(model.languages)))]
         for batch in batches:
-            texts, at = batch.column(batch.num_columns - 1).to_pylist(), 0
+            texts, at = batch.column(place).to_pylist(), 0
             while at < len(texts):
                 end, chars = at, 0
                 while end < len(texts) and (end == at or chars + len(texts[end] or "") <= chunk_chars):
@@ -267,7 +269,8 @@ def predict(docs: DataFrame, model: Model, chunk_chars: int = 2_000_000, carry:
                 yield pa.RecordBatch.from_arrays(cols, names)
                 at = end
 
-    return docs.select(*kept, F.col("text").cast("string").alias(free_prefix(names) + "text")).mapInArrow(run, schema)
+    more = [F.col("text").cast("string").alias(free_prefix(names) + "text")] if place == len(kept) else []
+    return docs.select(*kept, *more).mapInArrow(run, schema)
 
 
 def language_id(docs: DataFrame, settings: Settings = Settings(), segments: bool = False) -> DataFrame:
