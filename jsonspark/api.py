@@ -60,8 +60,8 @@ class JsonOutput:
 class JsonSpark:
     """See the module."""
 
-    def __init__(self, config: Config = Config()):
-        self._config = config
+    def __init__(self, config: Config | None = None):
+        self._config = config or Config()
 
     def _set(self, **changes) -> JsonSpark:
         self._config = replace(self._config, **changes)
