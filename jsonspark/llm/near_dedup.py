@@ -1,15 +1,20 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles.
-
-Candidates come from MinHash: ``BANDS`` keys of ``ROWS`` minima each, so a pair of
-similarity s shares a key with probability 1 - (1 - s**ROWS)**BANDS (all but
-5 in 100 million at 0.8).  Every candidate is verified on its whole shingle sets.
-Texts with equal sets are merged before.  In a key all members are compared with
-its hub, the member that meets most others in all keys: of a family of near copies
-that is the text they come from.  Where members of a key are not in its largest
-component yet, they alone are compared with the others, in blocks of a bounded
-number of hashes (all of a block's similarities are one pass over its shingles).
-So no pair that could join two groups is left out, no pairs are rows, and a large
-group of near copies costs as many comparisons as it has members.
+"""Near-duplicates by SimHash blocks and the exact Jaccard similarity of word shingles.
+
+Texts with equal sets of shingles are merged before.  The SimHash of a set links it
+to those within ``distance`` bits, found by pigeonhole blocks (see ``simhash``); every
+link is verified on the whole sets, and what holds makes components.
+
+A pair of similarity 0.8 differs in some ten of 64 bits, out of the blocks' reach.  So
+that none is lost, what the fingerprints leave apart also meets by MinHash: ``BANDS``
+keys of ``ROWS`` minima each, so a pair of similarity s shares a key with probability
+1 - (1 - s**ROWS)**BANDS (all but 5 in 100 million at 0.8).  In a key the hub is the
+member that meets most others in all keys: of a family of near copies that is the
+text they come from.  Members whose component is another are compared with it, and
+where some are not in the key's largest component then, they alone are compared with
+the others, in blocks of a bounded number of hashes (all of a block's similarities
+are one pass over its shingles).  So no pair that could join two groups is left out,
+no pairs are rows, and a large group of near copies costs as many comparisons as it
+has members.
 """
 
 from __future__ import annotations
@@ -24,9 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import connected_components, saved
-from .simhash import shingle_hashes
+from .simhash import fingerprint_links, folded, shingle_hashes
 
 BANDS, ROWS = 32, 4
+FILE_LINKS = 20_000  # links of a file, so that a few thousand do not make a file for each partition of a shuffle
 _RANDOM = np.random.default_rng(20240229)
 FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 TERMS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -53,14 +59,18 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, node, bands): node names the shingle set."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """(doc_id, node, fp, bands): node names the shingle set, fp is its SimHash."""
+    schema = T.StructType([
+        T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("node", T.LongType()),
+        T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())),
+    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(x.as_py(), shingle) for x in batch.column(1)]
             nodes = np.fromiter((xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
+            prints = np.fromiter((folded(s) for s in sets), np.uint64, len(sets)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(prints), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -78,6 +88,15 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, hashes array<long>")
 
 
+def close_pairs(prints: DataFrame, distance: int) -> DataFrame:
+    """Pairs (a, b) of nodes that connect all of rows (node, fp) whose fingerprints differ in at most ``distance`` bits."""
+    first = prints.groupBy("fp").agg(F.min("node").alias("first"))
+    one, two = (first.select(F.col("fp").alias(f"{n}_fp"), F.col("first").alias(n)) for n in "ab")
+    links = fingerprint_links(first.select("fp"), distance).select(F.col("a").alias("a_fp"), F.col("b").alias("b_fp"))
+    same = prints.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return links.distinct().join(one, "a_fp").join(two, "b_fp").select("a", "b").union(same)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets have at least that Jaccard similarity."""
     one, two = (sets.select(F.col("node").alias(n), F.col("hashes").alias(f"{n}_set"), F.size("hashes").alias(f"{n}_size")) for n in "ab")
@@ -121,25 +140,32 @@ def block_links(table: pa.Table, similarity: float) -> pa.Table:
     return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block_hashes: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 3, block_hashes: int = 1_000_000) -> DataFrame:
     """One row a document: doc_id and component_id, the smallest id of its group.
 
     Two documents link if the Jaccard similarity of their sets of word shingles
-    is at least ``similarity``; a group is what links connect.  Texts without a
+    is at least ``similarity``; a group is what links connect.  ``distance`` is
+    that of fingerprints: which step finds a link, not what a link is.  Texts without a
     word are equal.  Rows with a null id are left out; ids are unique.
     """
     docs = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text"))
     prints = saved(sketches(docs, shingle))
-    groups = saved(prints.groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.first("bands").alias("bands")))
+    groups = saved(prints.groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    close = saved(close_pairs(groups.select("node", "fp"), distance))
     dealt = groups.select("node", F.explode("bands").alias("key"))
     met = saved(dealt.join(dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").select("key", "node", "n"))
-    central = saved(met.groupBy("node").agg(F.sum("n").alias("c")))
-    named = central.join(groups, "node").select("node", "low")
+    central = met.groupBy("node").agg(F.sum("n").alias("c"))
+    asked = central.select("node").union(close.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    named = asked.join(groups, "node").select("node", "low")
     sets = saved(_sets(docs.join(named, docs.doc_id == named.low).select("node", "text"), shingle))
-    hubs = met.join(central, "node").groupBy("key").agg(F.max(F.struct("c", "node"))["node"].alias("a"))
-    tried = met.join(hubs, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    links = saved(_verified(tried, sets, similarity))
-    nodes = connected_components(links)
+    links = saved(_verified(close, sets, similarity))
+    nodes = connected_components(links, each=FILE_LINKS)
+    rooted = met.join(nodes, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    # Members that the fingerprints have not joined to their key's hub.
+    hubs = rooted.join(central, "node").groupBy("key").agg(F.max(F.struct("c", "node", "root")).alias("hub")).select("key", F.col("hub.node").alias("a"), F.col("hub.root").alias("a_root"))
+    tried = rooted.join(hubs, "key").where("root <> a_root").select("a", F.col("node").alias("b")).distinct()
+    links = saved(links.union(_verified(tried, sets, similarity)))
+    nodes = connected_components(links, each=FILE_LINKS)
 
     # Keys whose members are not one component yet; of keys with the same members one is enough.
     rooted = met.join(nodes, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
@@ -160,7 +186,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     asking = here.where("far").select("key", deal("q_blocks").alias("q"), every("m_blocks").alias("m"), F.lit(True).alias("ask"), "node", "root", "hashes")
     others = here.select("key", every("q_blocks").alias("q"), deal("m_blocks").alias("m"), F.lit(False).alias("ask"), "node", "root", "hashes")
     found = asking.union(others).groupBy("key", "q", "m").applyInArrow(lambda t: block_links(t, similarity), "a long, b long")
-    nodes = connected_components(links.union(found))
+    nodes = connected_components(links.union(found), each=FILE_LINKS)
 
     linked = nodes.union(nodes.select(F.col("root").alias("node"), "root").distinct())
     lows = linked.join(groups.select("node", "low"), "node").groupBy("root").agg(F.min("low").alias("component_id"))

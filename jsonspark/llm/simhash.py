@@ -44,9 +44,8 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, ends[size - 1 :])), np.uint64, len(words) - size + 1)
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """SimHash of the word shingles of a text, repeats included; zero without words."""
-    hashes = shingle_hashes(text, shingle)
+def folded(hashes: np.ndarray) -> int:
+    """SimHash of hashes: a bit is 1 if over half of them have it; zero for none."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)
@@ -56,6 +55,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """SimHash of the word shingles of a text, repeats included; zero without words."""
+    return folded(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint of every whole text, as a signed long."""
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])

@@ -5,7 +5,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from jsonspark.llm.near_dedup import near_duplicates, shingle_set
+from pyspark.sql import functions as F
+
+from jsonspark.llm import near_dedup
+from jsonspark.llm.near_dedup import close_pairs, near_duplicates, shingle_set
+from jsonspark.llm.simhash import folded
 
 RNG = random.Random(11)
 DATA = "/root/testdata/sf0.1"
@@ -84,6 +88,37 @@ def test_chains_and_families(spark):
         assert {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, block_hashes=size).collect()} == wanted
 
 
+def test_pairs_of_close_fingerprints(spark):
+    """Nodes of one fingerprint and of fingerprints within the distance are connected, and no others."""
+    prints = [RNG.getrandbits(64) for _ in range(20)]
+    for x in prints[:10]:
+        prints += [x, x ^ 1 << RNG.randint(0, 63), x ^ 7 << RNG.randint(0, 60), x ^ 15 << RNG.randint(0, 60)]
+    rows = [(k + 100, p - (1 << 64) if p >> 63 else p) for k, p in enumerate(prints)]
+    near = [(i, j) for j in range(len(prints)) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= 3]
+    got = close_pairs(spark.createDataFrame(rows, "node long, fp long"), 3).collect()
+    assert lowest(range(len(prints)), [(r["a"] - 100, r["b"] - 100) for r in got]) == lowest(range(len(prints)), near)
+
+
+def test_fingerprints_link_without_other_keys(spark, monkeypatch):
+    """Near copies within three bits are found by SimHash alone, and their links are verified."""
+    word = lambda: RNG.choice("abcdefgh") + str(RNG.randint(0, 9999))
+    texts = []
+    for _ in range(12):
+        base = [word() for _ in range(3000)]
+        copy = base.copy()
+        copy[RNG.randint(0, 2999)] = word()
+        texts += [" ".join(base), " ".join(copy)]
+    sets = [shingle_set(t, 5) for t in texts]
+    close = [(i, i + 1) for i in range(0, len(texts), 2) if (folded(sets[i]) ^ folded(sets[i + 1])).bit_count() <= 3]
+    assert len(close) > 6
+    made = near_dedup.sketches
+    monkeypatch.setattr(near_dedup, "sketches", lambda docs, shingle: made(docs, shingle).withColumn("bands", F.array().cast("array<long>")))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = lambda similarity: {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, similarity=similarity).collect()}
+    assert groups(0.8) == lowest(range(len(texts)), close)
+    assert groups(0.9999) == {i: i for i in range(len(texts))}
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
 def test_recall_on_the_table(spark):
     """The stage keeps exactly the smallest document of each group that brute force finds."""
