@@ -5,13 +5,13 @@ to those within ``distance`` bits, found by pigeonhole blocks (see ``simhash``);
 link is verified on the whole sets, and what holds makes components.
 
 A pair of similarity 0.8 differs in some ten of 64 bits, out of the blocks' reach.  So
-that none is lost, what the fingerprints leave apart also meets by MinHash: ``BANDS``
-keys of ``ROWS`` minima each, so a pair of similarity s shares a key with probability
-1 - (1 - s**ROWS)**BANDS (all but 5 in 100 million at 0.8).  In a key the hub is the
-member that meets most others in all keys: of a family of near copies that is the
-text they come from.  Members whose component is another are compared with it, and
-where some are not in the key's largest component then, they alone are compared with
-the others, in blocks of a bounded number of hashes (all of a block's similarities
+that none is lost, texts also meet by MinHash: ``BANDS`` keys of ``ROWS`` minima each,
+so a pair of similarity s shares a key with probability 1 - (1 - s**ROWS)**BANDS (all
+but 5 in 100 million at 0.8).  In a key the hub is the member that meets most others in
+all keys: of a family of near copies that is the text they come from.  Members are
+compared with it, in the same pass as the pairs of close fingerprints and each pair
+once; where some are not in the key's largest component then, they alone are compared
+with the others, in blocks of a bounded number of hashes (all of a block's similarities
 are one pass over its shingles).  So no pair that could join two groups is left out,
 no pairs are rows, and a large group of near copies costs as many comparisons as it
 has members.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, saved
+from .common import connected_components, saved, shuffles_dropped
 from .simhash import fingerprint_links, folded, shingle_hashes
 
 BANDS, ROWS = 32, 4
@@ -107,9 +107,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def block_links(table: pa.Table, similarity: float) -> pa.Table:
-    """Links (a, b) between the asking rows and the others of other roots; of links that join the same roots one is enough."""
+    """Pairs (a, b) of roots that links between the asking rows and the others join; of links that join the same roots one is enough."""
     ask = np.array(table.column("ask").to_pylist(), bool)
-    node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
+    root = table.column("root").to_numpy()
     hashes = table.column("hashes").combine_chunks()
     ends, flat = hashes.offsets.to_numpy(), hashes.values.to_numpy()
     size = np.diff(ends)
@@ -136,7 +136,7 @@ def block_links(table: pa.Table, similarity: float) -> pa.Table:
             a, b = top(int(root[i])), top(int(root[j]))
             if a != b:
                 above[a] = b
-                out.append((int(node[i]), int(node[j])))
+                out.append((int(root[i]), int(root[j])))
     return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
@@ -149,8 +149,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     word are equal.  Rows with a null id are left out; ids are unique.
     """
     docs = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text"))
-    prints = saved(sketches(docs, shingle))
-    groups = saved(prints.groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    with shuffles_dropped(docs.sparkSession):
+        prints = saved(sketches(docs, shingle))
+        groups = saved(prints.groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+        nodes, tops = _components(docs, groups, shingle, similarity, distance, block_hashes)
+
+    roots = nodes.select("root").union(tops.select("node")).union(tops.select("top")).distinct()
+    linked = nodes.union(roots.select(F.col("root").alias("node"), "root"))
+    linked = linked.join(tops.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    lows = linked.join(groups.select("node", "low"), "node").groupBy("root").agg(F.min("low").alias("component_id"))
+    chosen = linked.join(lows, "root").select("node", "component_id")
+    alone = groups.where("n > 1").join(linked.select("node"), "node", "left_anti").select("node", F.col("low").alias("component_id"))
+    return prints.select("doc_id", "node").join(chosen.union(alone), "node", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _components(docs: DataFrame, groups: DataFrame, shingle: int, similarity: float, distance: int, block_hashes: int) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of what fingerprints and hubs link, then (node, top) of the roots that blocks join; each leaves its own roots out."""
     close = saved(close_pairs(groups.select("node", "fp"), distance))
     dealt = groups.select("node", F.explode("bands").alias("key"))
     met = saved(dealt.join(dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").select("key", "node", "n"))
@@ -158,13 +172,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     asked = central.select("node").union(close.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     named = asked.join(groups, "node").select("node", "low")
     sets = saved(_sets(docs.join(named, docs.doc_id == named.low).select("node", "text"), shingle))
-    links = saved(_verified(close, sets, similarity))
-    nodes = connected_components(links, each=FILE_LINKS)
-    rooted = met.join(nodes, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    # Members that the fingerprints have not joined to their key's hub.
-    hubs = rooted.join(central, "node").groupBy("key").agg(F.max(F.struct("c", "node", "root")).alias("hub")).select("key", F.col("hub.node").alias("a"), F.col("hub.root").alias("a_root"))
-    tried = rooted.join(hubs, "key").where("root <> a_root").select("a", F.col("node").alias("b")).distinct()
-    links = saved(links.union(_verified(tried, sets, similarity)))
+    # Members with their key's hub, beside the pairs that the fingerprints give; a pair of both is verified once.
+    hubs = met.join(central, "node").groupBy("key").agg(F.max(F.struct("c", "node"))["node"].alias("a"))
+    tried = close.union(met.join(hubs, "key").where("node <> a").select("a", F.col("node").alias("b")))
+    links = _verified(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, similarity)
     nodes = connected_components(links, each=FILE_LINKS)
 
     # Keys whose members are not one component yet; of keys with the same members one is enough.
@@ -186,10 +197,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     asking = here.where("far").select("key", deal("q_blocks").alias("q"), every("m_blocks").alias("m"), F.lit(True).alias("ask"), "node", "root", "hashes")
     others = here.select("key", every("q_blocks").alias("q"), deal("m_blocks").alias("m"), F.lit(False).alias("ask"), "node", "root", "hashes")
     found = asking.union(others).groupBy("key", "q", "m").applyInArrow(lambda t: block_links(t, similarity), "a long, b long")
-    nodes = connected_components(links.union(found), each=FILE_LINKS)
-
-    linked = nodes.union(nodes.select(F.col("root").alias("node"), "root").distinct())
-    lows = linked.join(groups.select("node", "low"), "node").groupBy("root").agg(F.min("low").alias("component_id"))
-    chosen = linked.join(lows, "root").select("node", "component_id")
-    alone = groups.where("n > 1").join(linked.select("node"), "node", "left_anti").select("node", F.col("low").alias("component_id"))
-    return prints.select("doc_id", "node").join(chosen.union(alone), "node", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return nodes, connected_components(found, each=FILE_LINKS).withColumnRenamed("root", "top")

@@ -1,14 +1,17 @@
 import os
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 
 from jsonspark.llm import near_dedup
-from jsonspark.llm.near_dedup import close_pairs, near_duplicates, shingle_set
+from jsonspark.llm.common import shuffles_dropped
+from jsonspark.llm.near_dedup import block_links, close_pairs, near_duplicates, shingle_set
 from jsonspark.llm.simhash import folded
 
 RNG = random.Random(11)
@@ -119,6 +122,36 @@ def test_fingerprints_link_without_other_keys(spark, monkeypatch):
     assert groups(0.9999) == {i: i for i in range(len(texts))}
 
 
+def test_steps_leave_no_shuffle_files(spark):
+    """Shuffle files of the steps go without the driver's garbage collection, the setting is as before and the result can run twice."""
+    word = lambda: RNG.choice("abcdefgh") + str(RNG.randint(0, 9999))
+    base = [word() for _ in range(200)]
+    texts = [" ".join([*base[:k], word(), *base[k + 1 :]]) for k in range(0, 200, 10)] + [" ".join(word() for _ in range(50)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {x for top in folders for _, _, names in os.walk(top) for x in names if x.startswith("shuffle_")}
+    before, key = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(key)
+    groups = near_duplicates(docs)
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get(key) == setting
+    first, second = ({r["doc_id"]: r["component_id"] for r in groups.collect()} for _ in range(2))
+    assert first == second == {i: 0 if i < 20 else i for i in range(40)}
+    with pytest.raises(ValueError), shuffles_dropped(spark):
+        raise ValueError
+    assert spark.conf.get(key) == setting
+
+
+def test_block_links_join_roots():
+    """A block gives pairs of roots, so what it finds needs no second look at the links before."""
+    hashes = [list(range(10)), list(range(10)), list(range(1, 11)), list(range(50, 60))]
+    block = {"ask": [True, False, False, False], "node": [1, 2, 3, 4], "root": [10, 20, 20, 40], "hashes": pa.array(hashes, pa.list_(pa.int64()))}
+    assert block_links(pa.table(block), 0.8).to_pylist() == [{"a": 10, "b": 20}]
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
 def test_recall_on_the_table(spark):
     """The stage keeps exactly the smallest document of each group that brute force finds."""
